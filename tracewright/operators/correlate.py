@@ -152,7 +152,7 @@ def _match_purchases(keys: list[str], window_ms: int):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                k = tuple(getattr(r, c) for c in (*keys, "_burst"))
+                k = tuple(getattr(r, c) for c in (*keys, "burst"))
                 if k != key:
                     key, open_, ambiguous = k, [], False
                 open_ = [q for q in open_ if r.ms - q[1] <= window_ms]
@@ -199,12 +199,12 @@ def match_purchases(
     gaps = scan(cut, lane, {"_before": previous(F.col("ms"))})
     pause = F.col("_before").isNull() | (F.col("ms") - F.col("_before") > window_ms)
     bursts = scan(gaps.withColumn("_pause", pause), lane, {"_burst": last(F.when(F.col("_pause"), F.struct("ms", "ident")))})
-    ready = bursts.select(*keys, F.col("_burst.ident").alias("_burst"), "ms", "ident", "is_request", "request", "outcome")
+    ready = bursts.select(*keys, F.col("_burst.ident").alias("burst"), "ms", "ident", "is_request", "request", "outcome")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     head = ", ".join(f"`{k}` {types[k]}" for k in keys)
     return (
-        ready.repartition(*keys, "_burst")
-        .sortWithinPartitions(*keys, "_burst", "ms", "ident")
+        ready.repartition(*keys, "burst")
+        .sortWithinPartitions(*keys, "burst", "ms", "ident")
         .mapInPandas(_match_purchases(keys, window_ms), f"{head}, {_PURCHASE}")
     )
 

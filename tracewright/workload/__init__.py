@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["framing"]
+MODULES = ["framing", "correlation"]
 
 
 def load():
