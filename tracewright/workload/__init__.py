@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["framing", "correlation"]
+MODULES = ["framing", "correlation", "state"]
 
 
 def load():
