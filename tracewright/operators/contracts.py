@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,24 +180,19 @@ def require_fields(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tagged.where(F.size("missing") == 0).drop("missing"), tagged.where(F.size("missing") > 0)
 
 
-def _registry(names: list[str]) -> Column:
-    """The contract as one constant: event type -> field specifications."""
+_SPEC = (
+    "map<string,array<struct<field:string,kind:string,words:array<string>,low:double,high:double,max_length:int,"
+    "nullable:boolean>>>"
+)
 
-    def spec(name: str, text: str) -> Column:
-        s = _spec(text)
-        return F.struct(
-            F.lit(name).alias("field"),
-            F.lit(s["kind"]).alias("kind"),
-            F.array(*[F.lit(w) for w in s["words"] or []]).cast("array<string>").alias("words"),
-            F.lit(s["low"]).cast("double").alias("low"),
-            F.lit(s["high"]).cast("double").alias("high"),
-            F.lit(s["max_length"]).cast("int").alias("max_length"),
-            F.lit(s["nullable"]).alias("nullable"),
-        )
 
-    return F.create_map(
-        *[x for t in names for x in (F.lit(t), F.array(*[spec(n, text) for n, text in PAYLOADS[t].items()]))]
-    )
+def _registry(names: list[str]) -> Column:
+    """The contract as one constant: event type -> field specifications."""
+    table = {
+        t: [{"field": n, **{k: v if k != "words" else v or [] for k, v in _spec(text).items()}} for n, text in PAYLOADS[t].items()]
+        for t in names
+    }
+    return F.from_json(F.lit(json.dumps(table)), _SPEC)
 
 
 def _field_errors(payload: Column, s: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -113,11 +114,11 @@ def _observe(records: DataFrame, lane: Lane) -> DataFrame:
     text = F.col("text")
     usable = F.col("status") == "compatible"
     lifecycle = usable & (F.col("rule_set") == "lifecycle")
-    matched = F.when(lifecycle, matching_rules(text, LIFECYCLE_RULES)).when(
-        usable & (F.col("rule_set") == "captured"), matching_rules(text, SIGNAL_RULES)
+    matched = F.when(lifecycle, matching_rules("text", LIFECYCLE_RULES)).when(
+        usable & (F.col("rule_set") == "captured"), matching_rules("text", SIGNAL_RULES)
     ).when(
         usable & (F.col("rule_set") == "captured-completions"),
-        matching_rules(text, [r for r in SIGNAL_RULES if r.markers[0] in PTU_MARKERS]),
+        matching_rules("text", [r for r in SIGNAL_RULES if r.markers[0] in PTU_MARKERS]),
     )
     base = records.withColumn("rules", F.coalesce(matched, F.array().cast("array<string>")))
 
@@ -283,9 +284,10 @@ def _of(rule_id: str, when: Column, payload: Column, scope: Column | None = None
     return _candidate(rule_id, RULES[rule_id].event_type, when, payload, scope)
 
 
-def _by_type(values: dict[str, list[str]], default: list[str] | None = None) -> Column:
-    table = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.array(*[F.lit(f) for f in v]))])
-    return F.coalesce(F.try_element_at(table, F.col("event_type")), F.array(*[F.lit(f) for f in default or []]).cast("array<string>"))
+def _by_type(values: dict[str, list[str]]) -> Column:
+    """Field list of the row's event type, from one constant map."""
+    table = F.from_json(F.lit(json.dumps(values)), "map<string,array<string>>")
+    return F.coalesce(F.try_element_at(table, F.col("event_type")), F.array().cast("array<string>"))
 
 
 def _finish(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.constants import DRIFT_MIN_RECORDS, DRIFT_MIN_UNKNOWN, DRIFT_RATIO
-from tracewright.functions.text import contains_all
 
 
 @dataclass(frozen=True)
@@ -255,14 +254,24 @@ def rules_table(spark: SparkSession, rules: Sequence[Rule], profile_id: str = ""
 
 
 # --- dispatch ---------------------------------------------------------------------------------------------------------
-def matching_rules(text: Column, rules: Sequence[Rule]) -> Column:
-    """Ids of the rules whose literals all occur in the text, in rule order. Substring tests only, no join."""
-    return F.array_compact(F.array(*[F.when(contains_all(text, list(r.literals)), F.lit(r.rule_id)) for r in rules]))
+def _quote(literal: str) -> str:
+    return f"r'{literal}'" if "'" not in literal else f'r"{literal}"'
+
+
+def matching_rules(text: str, rules: Sequence[Rule]) -> Column:
+    """Ids of the rules whose literals all occur in the text column, in rule order.
+
+    The rule table is compiled into one expression of substring tests; there is no join.
+    """
+    tests = [
+        f"if({' and '.join(f'contains(`{text}`, {_quote(x)})' for x in r.literals)}, {_quote(r.rule_id)}, null)" for r in rules
+    ]
+    return F.expr(f"array_compact(array({', '.join(tests)}))")
 
 
 def dispatch(records: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per (record, candidate rule)."""
-    return records.withColumn("_rules", matching_rules(F.col("text"), rules)).select(
+    return records.withColumn("_rules", matching_rules("text", rules)).select(
         *records.columns, F.explode("_rules").alias("rule_id")
     )
 
@@ -275,9 +284,9 @@ def anchor_coverage(
     One pass: every anchor and family is a boolean aggregate, so nothing but counters is shuffled.
     """
     table = anchors or FAMILY_ANCHORS
-    text = F.col("text")
     pairs = [(f, a) for f, xs in table.items() for a in xs]
-    active = {f: F.max(_any([contains_all(text, list(r.literals)) for r in rules if r.family == f])) for f in table}
+    text = F.col("text")
+    active = {f: F.max(F.size(matching_rules("text", [r for r in rules if r.family == f])) > 0) for f in table}
     agg = records.groupBy(*keys).agg(
         *[v.alias(f"_f{i}") for i, v in enumerate(active.values())],
         *[F.max(F.contains(text, F.lit(a))).alias(f"_a{i}") for i, (_, a) in enumerate(pairs)],
@@ -295,13 +304,6 @@ def anchor_coverage(
     return agg.select(*keys, F.inline(rows)).where("active").drop("active")
 
 
-def _any(conds: list[Column]) -> Column:
-    out = F.lit(False)
-    for c in conds:
-        out = out | c
-    return out
-
-
 def suppress_drifted(candidates: DataFrame, scope: list[str], position: str = "pos") -> tuple[DataFrame, DataFrame]:
     """Split candidates at the first failure of a drift-flagged rule of the same scope and family.
 
@@ -347,7 +349,7 @@ def health_verdict(
 def funnel(records: DataFrame, rules: Sequence[Rule], keys: list[str]) -> DataFrame:
     """Records, literal checks, rule evaluations and unmatched records per key, in one aggregation."""
     checks = sum(len(r.literals) for r in rules)
-    hits = F.size(matching_rules(F.col("text"), rules))
+    hits = F.size(matching_rules("text", rules))
     return (
         records.select(*keys, hits.alias("_hits"))
         .groupBy(*keys)
