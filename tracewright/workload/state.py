@@ -328,14 +328,15 @@ def alert_lifecycle(spark, sf):
     return projections.alert_lifecycle(of(e.where(early)), of(e.where(~early)))
 
 
-@query("activity_recency", f"""WITH {EV}, s AS (SELECT user_id, max(ms) FILTER (WHERE event_type = 'view') AS seen FROM e GROUP BY 1) SELECT user_id, CASE WHEN seen IS NULL THEN 'none' WHEN {_NOW} - seen > 60000 THEN 'quiet' ELSE 'recent' END AS activity,
-CASE WHEN seen IS NULL THEN 'Unknown' ELSE (({_NOW} - seen) // 3600000) || 'h' END AS freshness, CASE WHEN seen IS NULL THEN 'Unknown' ELSE (({_NOW} - seen) // 3600000) || 'h ' || ((({_NOW} - seen) // 60000) % 60) || 'm' END AS duration FROM s WHERE seen IS NULL OR {_NOW} - seen >= 3600000""")
+@query("activity_recency", f"""WITH {EV}, s AS (SELECT user_id, max(ms) FILTER (WHERE event_type = 'view' AND k > 60) AS seen FROM e GROUP BY 1), d AS (SELECT *, greatest(0, ({_NOW} - seen) // 1000) AS sec, greatest(0, ({_NOW} - seen) // 60000) AS mi FROM s)
+SELECT user_id, CASE WHEN seen IS NULL THEN 'none' WHEN {_NOW} - seen > 60000 THEN 'quiet' ELSE 'recent' END AS activity, CASE WHEN seen IS NULL THEN 'Unknown' WHEN sec < 5 THEN 'Now' WHEN sec < 60 THEN sec || 's' WHEN sec < 3600 THEN (sec // 60) || 'm' ELSE (sec // 3600) || 'h' END AS freshness,
+CASE WHEN seen IS NULL THEN 'Unknown' WHEN mi >= 60 THEN (mi // 60) || 'h ' || (mi % 60) || 'm' ELSE (mi % 60) || 'm' END AS duration FROM d""")
 def activity_recency(spark, sf):
-    s = events(spark, sf).groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "view", F.col("ms"))).alias("seen"))
+    seen = F.max(F.when((F.col("event_type") == "view") & (F.col("k") > 60), F.col("ms")))
+    s = events(spark, sf).groupBy("user_id").agg(seen.alias("seen"))
     now = F.lit(_NOW)
-    kept = s.where(F.col("seen").isNull() | (now - F.col("seen") >= 3600000))
-    return kept.select("user_id", projections.activity_state(F.col("seen"), now).alias("activity"), freshness_label(F.col("seen"), now).alias("freshness"),
-                       compact_duration(F.col("seen"), now).alias("duration"))
+    return s.select("user_id", projections.activity_state(F.col("seen"), now).alias("activity"), freshness_label(F.col("seen"), now).alias("freshness"),
+                    compact_duration(F.col("seen"), now).alias("duration"))
 
 
 @query("current_summary", f"""WITH {TY} SELECT environment_key, arg_max('eu-' || h, o) FILTER (WHERE kind = 'PuJoinRequested') AS shard, arg_max('j' || (h % 4), o) FILTER (WHERE kind = 'JurisdictionEntered') AS place, arg_max('v' || (h % 2), o) FILTER (WHERE kind = 'VehicleRetrieved') AS vehicle FROM t

@@ -77,19 +77,19 @@ _STREAM = f"""{EV}, a AS (SELECT 'r' || user_id || '-' || k AS id, event_type AS
 UNION ALL SELECT 's' || user_id || '-' || k, 'shard', ms, event_id, 'shard ' || k, NULL, 'sh' || (k % 5), env, 'medium' FROM e WHERE event_type = 'view'), st AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY line_no DESC) = 1)"""
 
 
-@query("stream_view", f"""WITH {_STREAM} SELECT id AS event_id, kind, ts_ms, line_no FROM st ORDER BY ts_ms DESC NULLS LAST, line_no DESC, id LIMIT 200""")
+@query("stream_view", f"""WITH {_STREAM} SELECT id AS event_id, kind, ts_ms, line_no FROM st""")
 def stream_view(spark, sf):
-    return _stream(spark, sf).orderBy(*feed.stream_order()).limit(200).select("event_id", "kind", "ts_ms", "line_no")
+    return _stream(spark, sf).orderBy(*feed.stream_order()).select("event_id", "kind", "ts_ms", "line_no")
 
 
 @query("stream_filter", f"""WITH {_STREAM} SELECT id AS event_id FROM st WHERE env = 'env2' AND kind IN ('click', 'shard', 'error') AND kind <> 'diagnostic' AND (lower(host) = 'h1' OR false) AND confidence = 'low' AND contains(lower(summary), 'um 1') AND ts_ms >= {_MID}""")
 def stream_filter(spark, sf):
     q = feed.StreamQuery(environment="env2", kinds=("click", "shard", "error"), server="H1", confidence="LOW", diagnostics="hide", search=" um 1", since_ms=_MID)
-    return feed.stream_filter(_stream(spark, sf), q).select("event_id").where(F.lit(True))
+    return feed.stream_filter(_stream(spark, sf), q).select("event_id")
 
 
-@query("stream_window", f"""WITH {_STREAM}, n AS (SELECT *, row_number() OVER (ORDER BY ts_ms DESC NULLS LAST, line_no DESC, id) AS pos FROM st), a AS (SELECT pos FROM n WHERE line_no = (SELECT min(line_no) FROM st WHERE kind = 'shard')),
-c AS (SELECT count(*) AS total FROM st) SELECT id AS event_id FROM n, a, c WHERE n.pos >= least(a.pos, greatest(1, total - 80 + 1)) AND n.pos < least(a.pos, greatest(1, total - 80 + 1)) + 80""")
+@query("stream_window", f"""WITH {_STREAM}, n AS (SELECT *, row_number() OVER (ORDER BY ts_ms DESC NULLS LAST, line_no DESC, id) AS pos FROM st), anch AS (SELECT pos FROM n WHERE line_no = (SELECT min(line_no) FROM st WHERE kind = 'shard')),
+c AS (SELECT count(*) AS total FROM st) SELECT id AS event_id FROM n, anch, c WHERE n.pos >= least(anch.pos, greatest(1, total - 80 + 1)) AND n.pos < least(anch.pos, greatest(1, total - 80 + 1)) + 80""")
 def stream_window(spark, sf):
     s = _stream(spark, sf)
     anchor = s.where(F.col("kind") == "shard").orderBy("line_no").limit(1).collect()[0]["event_id"]
