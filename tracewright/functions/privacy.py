@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.constants import PRIVACY_PATTERNS, REDACTIONS, SENSITIVITY_LEVELS
@@ -53,23 +53,25 @@ def redact(text: Column) -> Column:
     return out
 
 
-def redaction_report(text: Column, base: Column | None = None, limit: int = 320) -> Column:
-    """``struct(snippet, kinds, sensitivity, applied)``: each kind is tested on the text its pattern would have seen."""
-    line = one_line(text)
-    out, flags, ranks = line, [], [sensitivity_rank(base) if base is not None else F.lit(1)]
-    for kind, pattern, replacement, level in REDACTIONS:
-        hit = out.rlike(pattern)
-        flags.append(F.when(hit, F.lit(kind)))
-        ranks.append(F.when(hit, F.lit(SENSITIVITY_LEVELS.index(level))).otherwise(F.lit(0)))
-        out = F.regexp_replace(out, pattern, replacement)
-    kinds = F.array_sort(F.array_distinct(F.array_compact(F.array(*flags))))
-    snippet = truncate_utf8(out, limit)
-    return F.struct(
-        snippet.alias("snippet"),
-        kinds.alias("kinds"),
-        sensitivity_name(F.greatest(*ranks)).alias("sensitivity"),
-        ((F.size(kinds) > 0) | (snippet != line)).alias("applied"),
-    )
+def with_redaction(df: DataFrame, column: str, base: Column | None = None, limit: int = 320) -> DataFrame:
+    """Add ``snippet``, ``kinds``, ``sensitivity`` and ``applied``.
+
+    The patterns apply one after the other and each kind is tested on the text its pattern would have seen; every step is
+    a column of its own, so no pattern is evaluated twice for the next one.
+    """
+    step = df.withColumns({"_line": one_line(F.col(column)), "_text": one_line(F.col(column))})
+    for i, (_, pattern, replacement, _) in enumerate(REDACTIONS):
+        step = step.withColumns(
+            {f"_hit{i}": F.col("_text").rlike(pattern), "_text": F.regexp_replace("_text", pattern, replacement)}
+        )
+    hits = [(F.col(f"_hit{i}"), kind, level) for i, (kind, _, _, level) in enumerate(REDACTIONS)]
+    kinds = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(h, F.lit(k)) for h, k, _ in hits]))))
+    ranks = [F.when(h, F.lit(SENSITIVITY_LEVELS.index(level))).otherwise(F.lit(0)) for h, _, level in hits]
+    start = sensitivity_rank(base) if base is not None else F.lit(1)
+    named = step.withColumns({"snippet": truncate_utf8(F.col("_text"), limit), "kinds": kinds,
+                              "sensitivity": sensitivity_name(F.greatest(start, *ranks))})
+    applied = (F.size("kinds") > 0) | (F.col("snippet") != F.col("_line"))
+    return named.withColumn("applied", applied).select(*df.columns, "snippet", "kinds", "sensitivity", "applied")
 
 
 def privacy_hits(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.constants import NOISE_CATEGORY, SENSITIVITY_LEVELS, UNKNOWN_CATEGORIES, UNKNOWN_POLICY
 from tracewright.functions.identity import digest
-from tracewright.functions.privacy import infer_sensitivity, redaction_report, sensitivity_name, sensitivity_rank
+from tracewright.functions.privacy import infer_sensitivity, sensitivity_name, sensitivity_rank, with_redaction
 from tracewright.functions.text import evidence_markers
 from tracewright.plans.scans import TARGET_ROWS, scan, split_keys, total
 from tracewright.plans.settle import fenced
@@ -39,9 +39,8 @@ def classify_unknown(unmatched: DataFrame, text: str, reason: str) -> DataFrame:
     first = unmatched.withColumns(
         {"_body": body, "_why": F.when(F.col(reason).rlike(r"^[a-z][a-z0-9_]{1,80}\z"), F.col(reason)).otherwise("no_profile_match")}
     )
-    staged = fenced(
-        first.withColumns({"markers": F.array_distinct(evidence_markers(F.col("_body"))), "_report": redaction_report(F.col("_body"))})
-    )
+    marked = first.withColumn("markers", F.array_distinct(evidence_markers(F.col("_body"))))
+    staged = fenced(with_redaction(marked, "_body").withColumnsRenamed({"sensitivity": "_level", "applied": "redacted"}))
     low = (
         (F.size("markers") == 0)
         | F.col("_body").rlike(r"(?i)^\s*(?:\[[^\]]+\]\s*)?(?:debug|trace|verbose)(?![A-Za-z0-9_])")
@@ -52,15 +51,12 @@ def classify_unknown(unmatched: DataFrame, text: str, reason: str) -> DataFrame:
     category = F.when(low & (why == "no_profile_match"), NOISE_CATEGORY).otherwise(
         F.coalesce(F.try_element_at(known, why), F.concat(F.lit("parser."), why))
     )
-    rank = F.greatest(sensitivity_rank(infer_sensitivity(F.col("_body"))), sensitivity_rank(F.col("_report.sensitivity")))
+    rank = F.greatest(sensitivity_rank(infer_sensitivity(F.col("_body"))), sensitivity_rank(F.col("_level")))
     named = staged.withColumns(
         {
             "low_value": low,
             "category": category,
             "sensitivity": sensitivity_name(rank),
-            "snippet": F.col("_report.snippet"),
-            "kinds": F.col("_report.kinds"),
-            "redacted": F.col("_report.applied"),
             "bytes": F.octet_length(text),
         }
     )
@@ -69,7 +65,7 @@ def classify_unknown(unmatched: DataFrame, text: str, reason: str) -> DataFrame:
         digest(
             [F.col("category"), why, F.when(F.col("low_value"), "").otherwise(F.col("snippet")), F.array_join("markers", "\n")], 32
         ),
-    ).drop("_body", "_report", "_why")
+    ).drop("_body", "_level", "_why")
 
 
 def unknown_buckets(classified: DataFrame, keys: Sequence[str], ms: str) -> DataFrame:

@@ -195,32 +195,32 @@ def _registry(names: list[str]) -> Column:
     return F.from_json(F.lit(json.dumps(table)), _SPEC)
 
 
-def _field_errors(payload: Column, s: Column) -> Column:
-    """Error codes of one field, as an array."""
-    value = F.try_element_at(payload, s["field"])
+def _field_error(payload: Column, s: Column) -> Column:
+    """Error code of one field bound to its ``value``, null when fine. The checks of a field exclude each other."""
+    value = s["value"]
     blank = F.coalesce(F.trim(value), F.lit("")) == ""
     absent_ok = s["nullable"] & value.isNull()
     text, flag, whole = s["kind"] == "str", s["kind"] == "bool", s["kind"] == "int"
     number = to_number(value)
     integral = (number == F.floor(number)) & (F.abs(number) <= 9007199254740991)
-    numeric = ~text & ~flag
-    bad_number = numeric & ~absent_ok & (number.isNull() | (whole & ~F.coalesce(integral, F.lit(False))))
+    listed = (F.size(s["words"]) == 0) | F.array_contains(s["words"], value)
     code = (
         F.when(~F.map_contains_key(payload, s["field"]), "missing_payload_field")
-        .when(text & blank & ~absent_ok, "invalid_payload_string")
-        .when(flag & ~absent_ok & ~F.coalesce(value.isin("true", "false"), F.lit(False)), "invalid_payload_boolean")
-        .when(bad_number & whole, "invalid_payload_integer")
-        .when(bad_number, "invalid_payload_number")
-    )
-    words = F.size(s["words"]) > 0
-    checks = F.array(
-        code,
-        F.when(code.isNull() & text & (F.length(value) > s["max_length"]), "payload_string_too_long"),
-        F.when(code.isNull() & words & ~F.array_contains(s["words"], value), "invalid_payload_enum"),
-        F.when(code.isNull() & numeric & (number < s["low"]), "payload_number_too_small"),
-        F.when(code.isNull() & numeric & (number > s["high"]), "payload_number_too_large"),
+        .when(absent_ok, F.lit(None).cast("string"))
+        .when(
+            text,
+            F.when(blank, "invalid_payload_string")
+            .when(F.length(value) > s["max_length"], "payload_string_too_long")
+            .when(~listed, "invalid_payload_enum"),
+        )
+        .when(flag, F.when(~F.coalesce(value.isin("true", "false"), F.lit(False)), "invalid_payload_boolean"))
+        .when(number.isNull() & whole, "invalid_payload_integer")
+        .when(number.isNull(), "invalid_payload_number")
+        .when(whole & ~integral, "invalid_payload_integer")
+        .when(number < s["low"], "payload_number_too_small")
+        .when(number > s["high"], "payload_number_too_large")
     )
-    return F.transform(F.array_compact(checks), lambda c: F.concat(c, F.lit(":payload."), s["field"]))
+    return F.concat(code, F.lit(":payload."), s["field"])
 
 
 def contract_errors(event_type: Column, payload: Column, provenance: Column, confidence: Column, contributors: Column,
@@ -232,7 +232,8 @@ def contract_errors(event_type: Column, payload: Column, provenance: Column, con
     names = types or list(PAYLOADS)
     none = F.array().cast("array<string>")
     fields = F.try_element_at(_registry(names), event_type)
-    found = F.flatten(F.transform(fields, lambda s: _field_errors(payload, s)))
+    bound = F.transform(fields, lambda s: s.withField("value", F.try_element_at(payload, s["field"])))
+    found = F.array_compact(F.transform(bound, lambda s: _field_error(payload, s)))
     extra = F.transform(
         F.array_except(F.map_keys(payload), F.transform(fields, lambda s: s["field"])),
         lambda k: F.concat(F.lit("unknown_payload_field:payload."), k),

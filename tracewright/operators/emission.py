@@ -43,7 +43,7 @@ from tracewright.operators.environment import build_compatibility, build_evidenc
 from tracewright.operators.framing import LANE
 from tracewright.operators.rules import LIFECYCLE_RULES, PTU_MARKERS, SIGNAL_RULES, Rule, matching_rules, profiles_table
 from tracewright.operators.signals import captured_signals, signal_payload
-from tracewright.plans.scans import CHUNK, Lane, asof, last, previous, scan, split_offsets, total
+from tracewright.plans.scans import CHUNK, TARGET_ROWS, Lane, asof, last, previous, scan, split_offsets, total
 from tracewright.plans.settle import fenced, settle
 
 ORDER = ["byte_offset"]
@@ -430,14 +430,14 @@ def _NO_REFS() -> Column:
     return F.array().cast("array<string>").alias("contributors")
 
 
-def _joins(seen: DataFrame) -> DataFrame:
+def _joins(seen: DataFrame, hot: int | None) -> DataFrame:
     """Join requests with the latest matchmaking request of the same port, connections with their created channel."""
     requests = seen.where(F.col("m_id").isNotNull() & F.col("j_port").isNotNull()).select(
         *LANE, "byte_offset", F.col("j_port").alias("_port"), F.col("m_id").alias("_request")
     )
     joins = seen.where(F.array_contains("rules", "pu.join-requested")).withColumn("_port", F.coalesce("j_port", F.lit(-1)))
     cols = [*_CARRY, "j_shard", "j_endpoint", "j_location", "_port"]
-    with_request = asof(joins.select(*cols), requests, [*LANE, "_port"], ORDER, ["_request"])
+    with_request = asof(joins.select(*cols), requests, [*LANE, "_port"], ORDER, ["_request"], hot)
     join = _of(
         "pu.join-requested", F.lit(True),
         _map(matchmakingRequestId=F.coalesce("_request", F.lit(_UNKNOWN_REQUEST)), shard=F.col("j_shard"),
@@ -450,7 +450,7 @@ def _joins(seen: DataFrame) -> DataFrame:
     done = seen.where(F.array_contains("rules", "connection.complete")).select(
         *_CARRY, F.coalesce("x_host", F.lit("")).alias("_host"), "x_port", "x_node", "x_rules", "x_host_type"
     )
-    with_channel = asof(done, created, [*LANE, "_host"], ORDER, ["_node", "_geid", "_type"])
+    with_channel = asof(done, created, [*LANE, "_host"], ORDER, ["_node", "_geid", "_type"], hot)
     complete = _of(
         "connection.complete", F.lit(True),
         _map(endpoint=F.nullif("_host", F.lit("")), port=F.col("x_port"), observedNodeId=F.coalesce("x_node", "_node"),
@@ -603,20 +603,20 @@ def _vehicles(seen: DataFrame) -> DataFrame:
     ))
 
 
-def emit_candidates(seen: DataFrame) -> DataFrame:
-    """All candidates of all rule kinds."""
-    return _finish(_stateless(seen).unionByName(_joins(seen)).unionByName(_vehicles(seen)).unionByName(_signals(seen)))
+def emit_candidates(seen: DataFrame, hot: int | None = TARGET_ROWS) -> DataFrame:
+    """All candidates of all rule kinds. ``hot`` is the row count above which a port or endpoint is cut into chunks."""
+    return _finish(_stateless(seen).unionByName(_joins(seen, hot)).unionByName(_vehicles(seen)).unionByName(_signals(seen)))
 
 
 def parse_records(
     records: DataFrame, spark: SparkSession, defaults: Mapping[str, str] | None = None, byte_scope: bool = False
 ) -> Parsed:
     """Records to events, diagnostics and unmatched evidence."""
-    chunked, lane = split_offsets(records, LANE)
+    chunked, lane = split_offsets(settle(records), LANE)
     env = with_environment(chunked, lane, spark, defaults)
     # the observation table feeds four candidate branches and the unmatched evidence: computed once, then read
     seen = settle(_observe(env, lane).drop(CHUNK))
-    candidates = fenced(emit_candidates(seen))
+    candidates = fenced(emit_candidates(seen, TARGET_ROWS if lane.split else None))
     complete, incomplete = contracts.require_fields(candidates)
     failed = candidates.withColumn(
         "failed", F.size(contracts.missing_fields(F.col("payload"), F.col("required"))) > 0
@@ -656,7 +656,7 @@ def parse_records(
         .unionByName(suppressed.select(*shape, F.lit("event_family_suppressed").alias("unknown_reason")))
         .unionByName(complete.where(F.col("ts_ms").isNull()).select(*shape, F.col("ts_code").alias("unknown_reason")))
     )
-    return Parsed(env, candidates, incomplete, suppressed, events, rejected, unknown)
+    return Parsed(seen, candidates, incomplete, suppressed, events, rejected, unknown)
 
 
 def resolve_contributors(events: DataFrame) -> DataFrame:

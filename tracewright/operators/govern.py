@@ -12,9 +12,9 @@ from tracewright.functions.privacy import (
     privacy_hits,
     redact_endpoint,
     redact_id,
-    redaction_report,
     sanitize_map,
     sensitive_key,
+    with_redaction,
 )
 from tracewright.plans.settle import fenced
 
@@ -23,8 +23,7 @@ SENSITIVE = ["personal", "social", "secret"]
 
 def redact(rows: DataFrame, column: str, base: Column | None = None, limit: int = 320) -> DataFrame:
     """Add ``snippet``, ``kinds``, ``sensitivity`` and ``applied`` for a text column."""
-    out = rows.withColumn("_r", redaction_report(F.col(column), base, limit))
-    return fenced(out).select(*rows.columns, "_r.*")
+    return fenced(with_redaction(rows, column, base, limit))
 
 
 def privacy_scan(rows: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from tracewright.functions.instants import log_instant
 from tracewright.functions.text import bracket_raw, group, outcome_kind
 from tracewright.operators.dedupe import kept_instants
 from tracewright.plans.scans import Lane, last, scan, total
-from tracewright.plans.settle import fenced
+from tracewright.plans.settle import fenced, settle
 
 _MARK = r"^<[^>]+>\s+\[Notice\]\s+<(Add Inventory Management Move|Inventory Mgmt Request Queued|Player Inventory Request Complete)>\s+"
 _BREAK = r"<Init>|<Join PU>|<SystemQuit>|<Channel Disconnected>|RequestFrontEndReason|<Channel Created>.*(?<![A-Za-z0-9_])frontend(?![A-Za-z0-9_])|<Game Version>|(?<![A-Za-z0-9_])FileVersion:"
@@ -89,7 +89,8 @@ def inventory_context(
     named = rows.where(F.col("player").isNotNull())
     inner = Lane((*lane.keys, "epoch", "player", "request"), lane.order, lane.split)
     # a completion ends the open before it; requests later than the window after the first start a new open
-    legs = scan(named, inner, {"_leg": total((F.col("kind") == "done").cast("bigint"), False)})
+    # the few inventory records of a log are used four times below: written once
+    legs = settle(scan(named, inner, {"_leg": total((F.col("kind") == "done").cast("bigint"), False)}))
     leg = Lane((*inner.keys, "_leg"), lane.order, lane.split)
     # a request while one is open makes it ambiguous and does not extend it: opens are the bounded fold of the requests
     requests = legs.where(F.col("kind") == "request")

@@ -196,12 +196,12 @@ def asof(
     keys: Sequence[str],
     order: Sequence[str],
     facts: Sequence[str],
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = TARGET_ROWS,
 ) -> DataFrame:
     """For every left row the latest earlier right row of the same key, as columns ``facts`` (null when none).
 
     Both sides carry ``keys`` and ``order``; the first order column must be integral. A right row at the same order
-    values as a left row is not visible to it.
+    values as a left row is not visible to it. ``target_rows=None`` states that no key is hot and skips the check.
     """
     keys, order, facts = list(keys), list(order), list(facts)
     left_cols = [c for c in left.columns if c not in keys and c not in order]
@@ -217,7 +217,9 @@ def asof(
         F.struct(*facts).alias("_fact"),
         F.lit(None).cast(probe.schema["_row"].dataType).alias("_row"),
     )
-    both, lane = split_keys(probe.unionByName(build), keys, order, target_rows)
+    both, lane = probe.unionByName(build), Lane(tuple(keys), tuple(order))
+    if target_rows is not None:
+        both, lane = split_keys(both, keys, order, target_rows)
     sided = both.withColumn("_side", F.col("_row").isNull().cast("int"))
     found = scan(
         sided, Lane(lane.keys, (*lane.order, "_side"), lane.split), {"_hit": last(F.col("_fact"), inclusive=False)}

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.instants import epoch_ms, iso_ms
+from tracewright.plans.settle import fenced
 from tracewright.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,13 +77,15 @@ def type_name(column: str = "event_type") -> Column:
 
 def as_lines(e: DataFrame, text: Column) -> DataFrame:
     """One line per event: source = user, line number and offset = event id (ids follow time)."""
-    return e.select(
+    rendered = e.select(
         F.col("user_id").cast("string").alias("source_id"),
         F.lit(0).cast("bigint").alias("generation"),
         F.col("event_id").alias("line_no"),
         F.col("event_id").alias("byte_offset"),
         text.alias("text"),
-    ).withColumn("byte_length", F.octet_length("text").cast("bigint") + 1)
+    )
+    # rendered once per line, as if read from a log table
+    return fenced(rendered).withColumn("byte_length", F.octet_length("text").cast("bigint") + 1)
 
 
 def stamp(ms: Column | None = None) -> Column:

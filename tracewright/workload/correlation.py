@@ -443,8 +443,8 @@ _IW = 2 * 24 * 3600_000
 
 
 def _contexts(spark, sf):
-    records = inventory.inventory_records(_inventory_lines(spark, sf)).drop("text")
-    cut, lane = split_keys(records, ["source_id", "generation"], ["byte_offset"])
+    lines, lane = split_keys(_inventory_lines(spark, sf), ["source_id", "generation"], ["byte_offset"])
+    cut = inventory.inventory_records(lines).drop("text")
     reviewed = spark.createDataFrame([("LIVE", ["Move", "Drop", "Interaction"])], "scope string, operations array<string>")
     return inventory.inventory_context(cut, lane, reviewed, _IW)
 
