@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import group
@@ -29,21 +29,42 @@ def iso_ms(ms: Column) -> Column:
     return F.concat(text, F.lit("."), frac, F.lit("Z"))
 
 
-def parse_instant(text: Column) -> Column:
-    """Epoch milliseconds of an absolute instant, null when malformed or without an offset."""
-    day, clock, frac, zone = (group(text, _INSTANT, i) for i in range(1, 5))
+def stamp_instant(stamp: Column) -> Column:
+    """Epoch milliseconds of a stamp already known to look like ``date T time [.fraction] [offset]``.
+
+    Read by position; null for impossible calendar fields or a missing offset. Pass a column, not an extraction: the
+    stamp is referenced several times.
+    """
     base = F.timestamp_diff(
         "SECOND",
         F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-        F.concat(day, F.lit(" "), clock).try_cast("timestamp_ntz"),
+        F.concat(F.substring(stamp, 1, 10), F.lit(" "), F.substring(stamp, 12, 8)).try_cast("timestamp_ntz"),
     )
-    ms = F.substring(F.rpad(F.coalesce(frac, F.lit("0")), 3, "0"), 1, 3).cast("int")
+    utc = F.endswith(stamp, F.lit("Z"))
+    zone = F.substring(stamp, -6, 6)
     hours, minutes = F.substring(zone, 2, 2).try_cast("int"), F.substring(zone, 5, 2).try_cast("int")
-    shift = F.when(zone == "Z", F.lit(0)).when(
-        (hours <= 23) & (minutes <= 59),
-        (hours * 3600 + minutes * 60) * F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1),
+    offset = zone.rlike(r"^[+-]\d{2}:\d{2}\z") & (hours <= 23) & (minutes <= 59)
+    shift = F.when(utc, F.lit(0)).when(
+        offset, (hours * 3600 + minutes * 60) * F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1)
     )
-    return ((base - shift) * 1000 + ms).cast("bigint")
+    digits = F.rpad(F.regexp_extract(F.substring(stamp, 20, 10), r"^\.(\d{1,3})", 1), 3, "0")
+    return ((base - shift) * 1000 + digits.try_cast("int")).cast("bigint")
+
+
+def stamp_code(stamp: Column, ms: Column) -> Column:
+    """timestamp_missing, timestamp_ambiguous, timestamp_malformed, or null when ``ms`` is known."""
+    zoned = stamp.rlike(r"(?:Z|[+-]\d{2}:\d{2})\z")
+    return (
+        F.when(ms.isNotNull(), F.lit(None).cast("string"))
+        .when(stamp.isNull(), "timestamp_missing")
+        .when(~zoned, "timestamp_ambiguous")
+        .otherwise("timestamp_malformed")
+    )
+
+
+def parse_instant(text: Column) -> Column:
+    """Epoch milliseconds of an absolute instant, null when malformed or without an offset."""
+    return F.when(text.rlike(_INSTANT), stamp_instant(text))
 
 
 def log_stamp(text: Column) -> Column:
@@ -51,24 +72,18 @@ def log_stamp(text: Column) -> Column:
     return group(text, _STAMP, 1)
 
 
-def log_instant(text: Column, offsetless_utc: bool = False) -> Column:
-    """Epoch milliseconds of a log record; offset-less stamps count only when UTC is declared."""
-    stamp = log_stamp(text)
+def with_log_instant(df: DataFrame, text: str, ms: str, code: str | None = None, offsetless_utc: bool = False) -> DataFrame:
+    """Add the epoch milliseconds of a log text column and optionally why there are none.
+
+    Offset-less stamps count only when UTC is declared.
+    """
+    stamp = log_stamp(F.col(text))
     if offsetless_utc:
         stamp = F.when(stamp.rlike(r"(?:Z|[+-]\d{2}:\d{2})\z"), stamp).otherwise(F.concat(stamp, F.lit("Z")))
-    return parse_instant(stamp)
-
-
-def log_instant_code(text: Column, offsetless_utc: bool = False) -> Column:
-    """Why a record has no instant: timestamp_missing, timestamp_ambiguous, timestamp_malformed or null when fine."""
-    stamp = log_stamp(text)
-    zoned = stamp.rlike(r"(?:Z|[+-]\d{2}:\d{2})\z") | F.lit(offsetless_utc)
-    return (
-        F.when(stamp.isNull(), "timestamp_missing")
-        .when(~zoned, "timestamp_ambiguous")
-        .when(log_instant(text, offsetless_utc).isNull(), "timestamp_malformed")
-        .otherwise(F.lit(None).cast("string"))
-    )
+    out = df.withColumn("_stamp", stamp).withColumn(ms, stamp_instant(F.col("_stamp")))
+    if code:
+        out = out.withColumn(code, stamp_code(F.col("_stamp"), F.col(ms)))
+    return out.drop("_stamp")
 
 
 def ordered_within(earlier: Column, later: Column, window_ms: int) -> Column:

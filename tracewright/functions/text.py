@@ -13,8 +13,8 @@ _B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
 def group(text: Column, pattern: str, index: int = 1) -> Column:
-    """A capture group of the first match, or null."""
-    return F.nullif(F.regexp_extract(text, pattern, index), F.lit(""))
+    """A capture group of the first match, or null. The text is matched once per use."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(index)), F.lit(1))
 
 
 def trim_ws(text: Column) -> Column:
@@ -35,7 +35,7 @@ def bracket(text: Column, key: str) -> Column:
 def bracket_raw(text: Column, key: str, ignore_case: bool = False) -> Column:
     """``key[value]`` exactly as written."""
     flag = "(?i)" if ignore_case else ""
-    return group(text, rf"{flag}{_B}{re.escape(key)}\[([^\]]*)\]")
+    return F.nullif(group(text, rf"{flag}{_B}{re.escape(key)}\[([^\]]*)\]"), F.lit(""))
 
 
 def last_bracket(text: Column, key: str) -> Column:

@@ -18,7 +18,7 @@ from tracewright.functions.identity import (
     release_channel,
     source_installation_id,
 )
-from tracewright.functions.instants import log_instant, log_instant_code, ordered_within
+from tracewright.functions.instants import ordered_within, with_log_instant
 from tracewright.functions.text import (
     bracket,
     clean,
@@ -106,7 +106,7 @@ def with_environment(
     out = judged.join(meta, "profile_id", "left").withColumn(
         "parser_version", F.coalesce("parser_version", F.lit("runtime-log-parser/0.1.0"))
     )
-    return out.withColumns({"ts_ms": log_instant(F.col("text")), "ts_code": log_instant_code(F.col("text"))})
+    return with_log_instant(out, "text", "ts_ms", "ts_code")
 
 
 def _observe(records: DataFrame, lane: Lane) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.constants import AUDIT_MARKERS, AUDIT_OPERATIONS, INVENTORY_WINDOW_MS
-from tracewright.functions.instants import log_instant
+from tracewright.functions.instants import with_log_instant
 from tracewright.functions.text import bracket_raw, group, outcome_kind
 from tracewright.operators.dedupe import kept_instants
 from tracewright.plans.scans import Lane, last, scan, total
@@ -38,20 +38,20 @@ def equivalent_operation(requested: Column, reported: Column, channel: Column |
 def inventory_records(lines: DataFrame, max_bytes: int = 64 * 1024) -> DataFrame:
     """Lines with ``kind`` (request, queue, done or null), their fields, and ``breaks`` where no request may carry over."""
     text = F.col("text")
-    kind = group(text, _MARK, 1)
+    staged = with_log_instant(lines, "text", "ms").withColumn("_mark", group(text, _MARK, 1))
+    kind = F.col("_mark")
 
     def f(name: str) -> Column:
         return bracket_raw(text, name)
 
-    ms = log_instant(text)
+    ms = F.col("ms")
     bad = (ms.isNull() | F.contains(text, F.lit("\ufffd"))) & (F.trim(text) != "")
     oversized = F.col("byte_length") > max_bytes
     request = F.when(f("Request").rlike(r"^\d{1,24}\z"), f("Request"))
     player = F.coalesce(f("Player"), group(text, r"(?<![A-Za-z0-9_])for '([^']+)'\s*\[", 1))
     queued = kind == "Inventory Mgmt Request Queued"
-    out = lines.withColumns(
+    out = staged.withColumns(
         {
-            "ms": ms,
             "_break": text.rlike(_BREAK) | F.coalesce(bad, F.lit(False)) | oversized,
             "kind": F.when(
                 ms.isNotNull() & ~oversized & request.isNotNull(),
@@ -69,7 +69,7 @@ def inventory_records(lines: DataFrame, max_bytes: int = 64 * 1024) -> DataFrame
             "result": f("Result"),
         }
     )
-    return fenced(out)
+    return fenced(out.drop("_mark"))
 
 
 def inventory_context(
@@ -230,16 +230,15 @@ def inventory_audit(lines: DataFrame, keys: Sequence[str], since_ms: int, max_by
     text = F.col("text")
     marker = group(text, r"^<[^>]+>\s+\[(?:Notice|Warning|Error)\]\s+<([^>]+)>", 1)
     small = F.col("byte_length") - 1 <= max_bytes
-    listed = F.coalesce(marker.isin(*AUDIT_MARKERS), F.lit(False))
+    listed = F.coalesce(F.col("_marker").isin(*AUDIT_MARKERS), F.lit(False))
     tagged = text.rlike(r"\[Team_CoreGameplayFeatures\]\[Inventory\]\s*\z")
-    ms = log_instant(text)
-    staged = lines.select(
+    staged = with_log_instant(lines.withColumn("_marker", marker), "text", "ms").select(
         *keys,
-        marker.alias("marker"),
-        ms.alias("ms"),
+        F.col("_marker").alias("marker"),
+        "ms",
         (~small).alias("oversized"),
-        (small & marker.isNotNull() & (listed | tagged)).alias("relevant"),
-        (ms.isNull() | F.contains(text, F.lit("\ufffd"))).alias("invalid"),
+        (small & F.col("_marker").isNotNull() & (listed | tagged)).alias("relevant"),
+        (F.col("ms").isNull() | F.contains(text, F.lit("\ufffd"))).alias("invalid"),
         listed.alias("listed"),
         bracket_raw(text, "Type").alias("type"),
         bracket_raw(text, "amount").alias("amount"),
@@ -248,6 +247,7 @@ def inventory_audit(lines: DataFrame, keys: Sequence[str], since_ms: int, max_by
         ).alias("location"),
         F.contains(text, F.lit("ItemClass[[")).alias("bulk"),
     )
+    staged = fenced(staged)
     seen = F.col("relevant") & ~F.col("invalid") & (F.col("ms") >= since_ms)
     known = seen & F.col("listed")
     add = known & (F.col("marker") == "Add Inventory Management Move")

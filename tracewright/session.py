@@ -12,6 +12,8 @@ def tune(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.adaptive.enabled", "true")
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # text rules cost far more per byte than a shuffle read: small partitions stay spread over the cores
+    conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
     return spark
 
 

@@ -52,7 +52,7 @@ def append_events(spark: SparkSession, batch: DataFrame, path: str, batch_id: in
     ``batch`` carries identity_hash, environment_key and event_date. A batch folder is overwritten as a whole, so running
     the same batch id again replaces its own partial output; events stored by other batches stay what decides newness.
     """
-    name = f"{batch_id:012d}" if batch_id is not None else uuid.uuid4().hex
+    name = f"b{batch_id:012d}" if batch_id is not None else f"u{uuid.uuid4().hex}"
     stored = read_events(spark, path)
     if stored is not None and batch_id is not None:
         stored = stored.where(F.col("batch").cast("string") != name)
@@ -94,7 +94,7 @@ def rewrite(spark: SparkSession, kept: DataFrame, source: str, target: str) -> s
     """Write the rows that stay to a new table; callers switch to it. The old table is never changed in place."""
     if source == target:
         raise ValueError("rewrite needs a new target")
-    kept.write.mode("errorifexists").partitionBy(*PARTITIONS).parquet(f"{target}/batch={uuid.uuid4().hex}")
+    kept.write.mode("errorifexists").partitionBy(*PARTITIONS).parquet(f"{target}/batch=u{uuid.uuid4().hex}")
     return target
 
 

@@ -33,7 +33,14 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table. Text-heavy tables in fewer files than cores are spread over the cores first; with many files
+    (any large table) the scan is parallel as it is.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("events", "documents", "conversations") and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
