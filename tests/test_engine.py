@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.instants import parse_instant, with_log_instant
 from tracewright.operators import emission, framing
+from tracewright.plans.settle import settle
 
 HEAD = """<2026-08-09T19:00:00.000Z> FileVersion: 4.9.0-LIVE.9000000-SYNTH
 <2026-08-09T19:00:00.010Z> ProductVersion: 4.9.0-LIVE.9000000-SYNTH
@@ -48,20 +49,22 @@ LOG = HEAD + """<2026-08-09T19:01:00.000Z> <InitiateLogin> LoginSessionId: L1 re
 """
 
 
-def parse(spark, logs, defaults=None, chunk_bytes=8 << 20):
+def parse(spark, logs, defaults=None):
     raw = spark.createDataFrame([(s, 0, t) for s, t in logs.items()], "source_id string, generation bigint, text string")
-    records = framing.records_of(framing.drop_empty(framing.frame_lines(raw)), chunk_bytes=chunk_bytes)
+    records = framing.records_of(framing.drop_empty(framing.frame_lines(raw)))
     return emission.parse_records(records, spark, defaults)
 
 
 @pytest.fixture(scope="module")
-def parsed(spark):
-    return parse(spark, {"a": LOG}, {"channel": "LIVE"})
+def table(spark):
+    """Events of the log and of the same log under another channel."""
+    other = LOG.replace("Tag[LIVE]", "Tag[HOTFIX]").replace("environment[LIVE]", "environment[HOTFIX]")
+    return settle(parse(spark, {"a": LOG, "b": other}, {"channel": "LIVE"}).events)
 
 
 @pytest.fixture(scope="module")
-def events(parsed):
-    return parsed.events.orderBy("byte_offset", "event_type").collect()
+def events(table):
+    return table.where("source_id = 'a'").orderBy("byte_offset", "event_type").collect()
 
 
 def test_every_stage_is_emitted_once(events):
@@ -87,20 +90,24 @@ def test_correlated_payloads(events):
     assert by["PartyMemberJoined"] == {"notificationId": "48", "memberHandle": "MEMBER_A"}
 
 
-def test_contributors_point_at_events(parsed):
-    rows = {r.event_type: r for r in emission.resolve_contributors(parsed.events).collect()}
+def test_contributors_point_at_events(table):
+    own = table.where("source_id = 'a'")
+    rows = {r.event_type: r for r in emission.resolve_contributors(own).collect()}
     assert rows["VehicleStored"].contributors == [rows["VehicleControlReleased"].event_id]
     assert rows["QuantumTravelArrived"].contributors == [rows["QuantumTargetChanged"].event_id]
 
 
-def test_any_chunking_and_isolation(spark, events):
-    other = LOG.replace("Tag[LIVE]", "Tag[HOTFIX]").replace("environment[LIVE]", "environment[HOTFIX]")
-    both = parse(spark, {"a": LOG, "b": other}, {"channel": "LIVE"}, chunk_bytes=300).events
-    assert [e.event_id for e in both.where("source_id = 'a'").orderBy("byte_offset", "event_type").collect()] == [
-        e.event_id for e in events
-    ]
-    # the other channel has no reviewed profile: nothing after its channel became known
-    assert both.where((F.col("source_id") == "b") & (F.col("line_no") > 5)).count() == 0
+def test_other_channel_has_no_profile(table):
+    # nothing is emitted once the unreviewed channel is known
+    assert table.where((F.col("source_id") == "b") & (F.col("line_no") > 5)).count() == 0
+
+
+def test_records_do_not_depend_on_the_cut(spark):
+    raw = spark.createDataFrame([("a", 0, LOG)], "source_id string, generation bigint, text string")
+    lines = settle(framing.drop_empty(framing.frame_lines(raw)))
+    whole = framing.records_of(lines).orderBy("byte_offset").collect()
+    cut = framing.records_of(lines, chunk_bytes=700).orderBy("byte_offset").collect()
+    assert cut == whole and len(whole) == 41
 
 
 def test_unmatched_and_drift(spark):
