@@ -15,11 +15,10 @@ SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = [
     "frame_lines", "assemble_records", "dispatch_rules", "captured_signals", "validate_events", "parse_rendered_log",
-    "dedupe_bounded", "environment_timeline", "profile_selection", "asof_by_key", "sequence_match", "interval_match",
-    "target_transitions", "match_purchases", "server_sessions", "shard_sightings", "inventory_context", "unknown_buckets",
-    "facet_counts", "late_filter", "lifecycle_state", "connection_state", "party_state", "query_page", "stream_view",
-    "activity_feed", "render_messages", "redact_text", "privacy_scan", "ledger_apply", "snapshot_consistency",
-    "blueprint_catalogue", "stream_dedupe", "stream_projection", "flagship",
+    "dedupe_bounded", "environment_timeline", "profile_selection", "asof_by_key", "sequence_match", "target_transitions",
+    "match_purchases", "server_sessions", "inventory_context", "unknown_buckets", "facet_counts", "late_filter",
+    "lifecycle_state", "connection_state", "query_page", "activity_feed", "render_messages", "redact_text", "privacy_scan",
+    "ledger_apply", "blueprint_catalogue", "stream_dedupe",
 ]
 
 

@@ -80,7 +80,7 @@ UNKNOWN_CATEGORIES = {
 NOISE_CATEGORY = "noise.low_value"
 
 # --- privacy ----------------------------------------------------------------------------------------------------------
-_S, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+_S, _E = r"(?<!\w)", r"(?!\w)"
 _VALUE = r"\s*[:=\[]\s*(?:\"[^\"]+\"|[^\s,\]]+)"
 #: kind, pattern, replacement, sensitivity; applied in this order
 REDACTIONS = [

@@ -27,7 +27,7 @@ def max_sensitivity(*levels: Column) -> Column:
 
 
 def infer_sensitivity(text: Column) -> Column:
-    edge, end = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+    edge, end = r"(?<!\w)", r"(?!\w)"
     return (
         F.when(text.rlike(rf"(?i){edge}(?:authorization|auth|token|secret|password|apikey){end}"), "secret")
         .when(text.rlike(rf"(?i){edge}(?:handle|nickname|leader|member){end}\s*[:=\[]"), "social")
@@ -105,7 +105,7 @@ def sanitize_map(value: Column) -> Column:
 
     def entry(key: Column, val: Column) -> Column:
         plain = F.regexp_replace(val, r"(?i)(?:[A-Za-z]:\\|\\\\|/home/|/Users/|/tmp/)[^\s\"']+", "[redacted]")
-        plain = F.regexp_replace(plain, r"(?<![A-Za-z0-9_])(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?(?![A-Za-z0-9_])", "[redacted]")
+        plain = F.regexp_replace(plain, r"(?<!\w)(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?(?!\w)", "[redacted]")
         return F.when(sensitive_key(key).isNotNull(), F.lit("[redacted]")).otherwise(plain)
 
     return F.transform_values(value, entry)

@@ -7,9 +7,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: white space as the log producer defines it: ASCII plus the Unicode spaces and the byte order mark
-WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-_B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+#: white space as the log producer defines it: ASCII plus the Unicode spaces and the byte order mark. The range in front
+#: of the list lets plain characters fail after two tests.
+WS = r"[\s[\u00a0-\ufeff&&[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]]]"
+_B, _E = r"(?<!\w)", r"(?!\w)"
 
 
 def group(text: Column, pattern: str, index: int = 1) -> Column:

@@ -43,7 +43,7 @@ def classify_unknown(unmatched: DataFrame, text: str, reason: str) -> DataFrame:
     staged = fenced(with_redaction(marked, "_body").withColumnsRenamed({"sensitivity": "_level", "applied": "redacted"}))
     low = (
         (F.size("markers") == 0)
-        | F.col("_body").rlike(r"(?i)^\s*(?:\[[^\]]+\]\s*)?(?:debug|trace|verbose)(?![A-Za-z0-9_])")
+        | F.col("_body").rlike(r"(?i)^\s*(?:\[[^\]]+\]\s*)?(?:debug|trace|verbose)(?!\w)")
         | F.col("_body").rlike(r"(?i)<[^>]*(?:noise|debug|trace|verbose)[^>]*>")
     )
     known = F.create_map(*[x for k, v in UNKNOWN_CATEGORIES.items() for x in (F.lit(k), F.lit(v))])

@@ -330,7 +330,7 @@ def _stateless(seen: DataFrame) -> DataFrame:
     member = trim_ws(group(note["message"], r"(?i)^New Member Joined\s+(.+?)\s+has joined the party\.:?\s*\z", 1))
     leave = r"<Leave group>\s+Client\s+(\S+)\s+leave group\s+(\S+)"
     leaver = clean(group(text, leave, 1))
-    mission_id = F.coalesce(bracket(text, "MissionId"), group(text, r"(?i)(?<![A-Za-z0-9_])MissionId\s*:\s*\[([^\]]+)\]", 1))
+    mission_id = F.coalesce(bracket(text, "MissionId"), group(text, r"(?i)(?<!\w)MissionId\s*:\s*\[([^\]]+)\]", 1))
     contract = trim_ws(
         F.regexp_replace(group(note["message"], r"(?i)^Contract Accepted:\s*(.+?)\s*:?\z", 1), r":\s*\z", "")
     )

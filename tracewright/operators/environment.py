@@ -19,7 +19,7 @@ from tracewright.functions.text import bracket, clean, group, keyed, last_bracke
 from tracewright.plans.scans import Lane, last, lowest, previous, scan, total
 
 _WORD = r"([A-Za-z0-9_.:-]+)"
-_B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+_B, _E = r"(?<!\w)", r"(?!\w)"
 
 
 def _version(text: Column, key: str) -> Column:

@@ -15,7 +15,7 @@ from tracewright.plans.scans import Lane, last, scan, total
 from tracewright.plans.settle import fenced, settle
 
 _MARK = r"^<[^>]+>\s+\[Notice\]\s+<(Add Inventory Management Move|Inventory Mgmt Request Queued|Player Inventory Request Complete)>\s+"
-_BREAK = r"<Init>|<Join PU>|<SystemQuit>|<Channel Disconnected>|RequestFrontEndReason|<Channel Created>.*(?<![A-Za-z0-9_])frontend(?![A-Za-z0-9_])|<Game Version>|(?<![A-Za-z0-9_])FileVersion:"
+_BREAK = r"<Init>|<Join PU>|<SystemQuit>|<Channel Disconnected>|RequestFrontEndReason|<Channel Created>.*(?<!\w)frontend(?!\w)|<Game Version>|(?<!\w)FileVersion:"
 
 
 def item_class(value: Column) -> Column:
@@ -48,7 +48,7 @@ def inventory_records(lines: DataFrame, max_bytes: int = 64 * 1024) -> DataFrame
     bad = (ms.isNull() | F.contains(text, F.lit("\ufffd"))) & (F.trim(text) != "")
     oversized = F.col("byte_length") > max_bytes
     request = F.when(f("Request").rlike(r"^\d{1,24}\z"), f("Request"))
-    player = F.coalesce(f("Player"), group(text, r"(?<![A-Za-z0-9_])for '([^']+)'\s*\[", 1))
+    player = F.coalesce(f("Player"), group(text, r"(?<!\w)for '([^']+)'\s*\[", 1))
     queued = kind == "Inventory Mgmt Request Queued"
     out = staged.withColumns(
         {
@@ -243,7 +243,7 @@ def inventory_audit(lines: DataFrame, keys: Sequence[str], since_ms: int, max_by
         bracket_raw(text, "Type").alias("type"),
         bracket_raw(text, "amount").alias("amount"),
         text.rlike(
-            r"(?<![A-Za-z0-9_])(?:SourceInventory|TargetInventory)\[[A-Za-z0-9_-]{1,128}:Location:[A-Za-z0-9_-]{1,128}\]"
+            r"(?<!\w)(?:SourceInventory|TargetInventory)\[[A-Za-z0-9_-]{1,128}:Location:[A-Za-z0-9_-]{1,128}\]"
         ).alias("location"),
         F.contains(text, F.lit("ItemClass[[")).alias("bulk"),
     )

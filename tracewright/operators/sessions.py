@@ -13,7 +13,7 @@ from tracewright.functions.text import bracket, clean, group
 from tracewright.plans.scans import TARGET_ROWS, Lane, previous, scan, split_keys
 from tracewright.plans.settle import settle
 
-_B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+_B, _E = r"(?<!\w)", r"(?!\w)"
 _WORD = r"([A-Za-z0-9_.:-]+)"
 LEAVE = rf"(?i){_B}(?:disconnect|disconnected|connection lost|leaving server|leave pu|session ended|logout|quit){_E}"
 
@@ -63,8 +63,8 @@ def party_comms(lines: DataFrame) -> DataFrame:
     """Lines that report a party member entering or leaving comms range."""
     text = F.col("text")
     pattern = (
-        r"(?i)(?:^|>\s*)([A-Za-z0-9_.-]{2,64})\s+(disconnected|connected)\.?\s*.*(?<![A-Za-z0-9_])Action\s*:\s*(Add|Remove)"
-        r"(?![A-Za-z0-9_]).*\[Team_CoreGameplayFeatures\]\[Missions\]\[Comms\]"
+        r"(?i)(?:^|>\s*)([A-Za-z0-9_.-]{2,64})\s+(disconnected|connected)\.?\s*.*(?<!\w)Action\s*:\s*(Add|Remove)"
+        r"(?!\w).*\[Team_CoreGameplayFeatures\]\[Missions\]\[Comms\]"
     )
     gone = (F.lower(group(text, pattern, 2)) == "disconnected") | (F.lower(group(text, pattern, 3)) == "remove")
     return lines.select(

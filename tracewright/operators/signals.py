@@ -48,7 +48,7 @@ def captured_signals(records: DataFrame) -> DataFrame:
             "_price": plain_number(b("client_price")),
             "_result": safe_name(b("Result")),
             "_elapsed": plain_number(_either(b("Elapsed"), group(msg, r"took (\d+(?:\.\d+)?) seconds", 1))),
-            "_request": group(msg, r"(?i)(?<![A-Za-z0-9_])Request\[(\d+)\]", 1),
+            "_request": group(msg, r"(?i)(?<!\w)Request\[(\d+)\]", 1),
             "_shop": safe_name(b("shopName")),
             "_kiosk": safe_name(b("kioskState")),
         }

@@ -107,9 +107,9 @@ MARKERS = {
     "GameVersion": "(?i)<Game Version>",
     "SetDatabaseVersion": "(?i)<SetDatabaseVersion>",
     "JoinPU": "(?i)<Join PU>",
-    "FileVersion": "(?i)(?<![A-Za-z0-9_])FileVersion(?![A-Za-z0-9_])",
-    "ProductVersion": "(?i)(?<![A-Za-z0-9_])ProductVersion(?![A-Za-z0-9_])",
-    "Branch": "(?i)(?<![A-Za-z0-9_])Branch(?![A-Za-z0-9_])",
+    "FileVersion": "(?i)(?<!\w)FileVersion(?!\w)",
+    "ProductVersion": "(?i)(?<!\w)ProductVersion(?!\w)",
+    "Branch": "(?i)(?<!\w)Branch(?!\w)",
 }
 
 
@@ -127,12 +127,12 @@ def profile_sources(
     size = F.col("file_size")
     sampled = lines.where((size <= whole) | (F.col("byte_offset") < head) | (F.col("byte_offset") >= size - tail))
     channels = "|".join(sorted(RELEASE_CHANNELS, key=len, reverse=True))
-    tag = F.when(text.rlike("(?i)<Init>"), group(text, r"(?i)(?<![A-Za-z0-9_])Tag\[([^\]]+)\]"))
-    game = F.when(text.rlike("(?i)<Game Version>"), group(text, r"(?i)(?<![A-Za-z0-9_])environment\[([^\]]+)\]"))
-    suffix = group(text, rf"(?i)(?:FileVersion|ProductVersion)\s*[:=]\s*[A-Za-z0-9.]+-({channels})(?![A-Za-z0-9_])")
-    version = F.when(text.rlike("(?i)<Game Version>"), group(text, r"(?i)(?<![A-Za-z0-9_])version\[([^\]]+)\]"))
+    tag = F.when(text.rlike("(?i)<Init>"), group(text, r"(?i)(?<!\w)Tag\[([^\]]+)\]"))
+    game = F.when(text.rlike("(?i)<Game Version>"), group(text, r"(?i)(?<!\w)environment\[([^\]]+)\]"))
+    suffix = group(text, rf"(?i)(?:FileVersion|ProductVersion)\s*[:=]\s*[A-Za-z0-9.]+-({channels})(?!\w)")
+    version = F.when(text.rlike("(?i)<Game Version>"), group(text, r"(?i)(?<!\w)version\[([^\]]+)\]"))
     file_version = group(text, r"(?i)(?:FileVersion|ProductVersion)\s*[:=]\s*([A-Za-z0-9_.:-]+)")
-    name = F.when(text.rlike("(?i)<Init>"), group(text, r"(?i)(?<![A-Za-z0-9_])Environment\[([^\]]+)\]"))
+    name = F.when(text.rlike("(?i)<Init>"), group(text, r"(?i)(?<!\w)Environment\[([^\]]+)\]"))
 
     def first(value: Column) -> Column:
         return F.min_by(value, F.when(value.isNotNull(), F.col("byte_offset")))

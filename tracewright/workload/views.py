@@ -214,7 +214,7 @@ def redact_text(spark, sf):
 
 def _re2(pattern):
     """A scan pattern without look-around: word edges as ``\\b``."""
-    return pattern.replace("(?<![A-Za-z0-9_])", "\\b").replace("(?![A-Za-z0-9_])", "\\b").replace("'", "''")
+    return pattern.replace("(?<!\\w)", "\\b").replace("(?!\\w)", "\\b").replace("'", "''")
 
 
 def _privacy_sql(name):
@@ -396,7 +396,7 @@ def catalogue_contract(spark, sf):
 
 
 # --- sources ----------------------------------------------------------------------------------------------------------
-_DOC = {"question": r"\?", "digit": r"\d", "quote": "\"", "the": r"(?i)(?<![A-Za-z0-9_])the(?![A-Za-z0-9_])"}
+_DOC = {"question": r"\?", "digit": r"\d", "quote": "\"", "the": r"(?i)(?<!\w)the(?!\w)"}
 
 
 @query("source_profile", f"""WITH {_SPLIT}, z AS (SELECT doc_id, max(byte_offset + byte_length) AS size FROM o GROUP BY 1), s AS (SELECT o.* FROM o JOIN z USING (doc_id) WHERE part <> '' AND (size <= 4000 OR byte_offset < 1500 OR byte_offset >= size - 500)),
