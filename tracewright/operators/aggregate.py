@@ -144,10 +144,11 @@ def current_summary(tables: Sequence[DataFrame], key: str) -> DataFrame:
 
 
 def append_report(attempted: DataFrame, inserted: DataFrame) -> DataFrame:
-    a = attempted.agg(F.count(F.lit(1)).alias("attempted"))
-    i = inserted.agg(F.count(F.lit(1)).alias("inserted"))
-    # two single-row tables
-    return a.join(i).select("attempted", "inserted", (F.col("attempted") - F.col("inserted")).alias("duplicates"))
+    """Counts of attempted, inserted and duplicate rows."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    marks = attempted.select(one.alias("a"), zero.alias("i")).unionByName(inserted.select(zero.alias("a"), one.alias("i")))
+    counts = marks.agg(F.coalesce(F.sum("a"), zero).alias("attempted"), F.coalesce(F.sum("i"), zero).alias("inserted"))
+    return counts.withColumn("duplicates", F.col("attempted") - F.col("inserted"))
 
 
 def sensitivity_lattice() -> list[str]:

@@ -99,8 +99,8 @@ def stream_window(spark, sf):
 @query("unseen_count", f"""WITH {_STREAM} SELECT CAST(count(*) FILTER (WHERE line_no > (SELECT max(event_id) - 300 FROM e)) AS BIGINT) AS unseen FROM st""")
 def unseen_count(spark, sf):
     s = _stream(spark, sf)
-    top = events(spark, sf).agg((F.max("event_id") - 300).alias("_top"))
-    return feed.unseen_count(s, s.join(F.broadcast(top)).where(F.col("line_no") <= F.col("_top")))
+    top = events(spark, sf).agg(F.max("event_id")).first()[0] - 300
+    return feed.unseen_count(s, s.where(F.col("line_no") <= top))
 
 
 # --- classification and feed ------------------------------------------------------------------------------------------
