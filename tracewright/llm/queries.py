@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import common, mixing, sharding, url_filter
+from tracewright.llm import common, debruijn, mixing, sharding, suffix_dedup, url_filter, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,28 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filter.judge_urls(pages)
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.repeated_bytes(docs)
+    digests = found.select(
+        "key", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+    return windows.attach(docs, digests, "text").drop("text")
+
+
+@query
+def op4_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = debruijn.first_occurrences(docs)
+    digests = found.select("key", "ord", "n_units", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    joined = debruijn.attach_first(docs, digests)
+    return joined.select(
+        "doc_id",
+        F.col("n_units").alias("n_words"),
+        F.when(F.col("later"), F.col("n_units")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(F.col("later"), F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+    )
