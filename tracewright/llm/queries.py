@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import common, debruijn, mixing, sharding, suffix_dedup, url_filter, windows
+from tracewright.llm import common, debruijn, mixing, sharding, simhash, suffix_dedup, url_filter, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,10 @@ def op4_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("later"), F.col("n_units")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(F.col("later"), F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
     )
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
