@@ -15,7 +15,7 @@ CHUNK = 4096
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings for text-heavy Python stages: small Arrow batches keep a task's memory bounded."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     return spark
 
 
