@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BinaryType, DoubleType, LongType
 
 from tracewright.llm.common import col, fresh, settle
 from tracewright.llm.components import components
@@ -204,3 +204,67 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = placed.groupBy("root").agg(F.min("id").alias("least"))
     known = settle(placed.join(least, "root").select(F.col("fp").alias("_fp"), F.col("least").alias(component)))
     return marked.join(known, F.col(fp) == F.col("_fp")).drop("_fp")
+
+
+SKETCH = 128
+
+
+def sketch_of(text: str | None, words: int = 5) -> np.ndarray:
+    """The smallest ``SKETCH`` 32-bit hashes of the set of word shingles; the whole set where it is no larger."""
+    parts = (text or "").encode().lower().split()
+    if not parts:
+        return np.zeros(0, np.uint32)
+    joined = b" ".join(parts)
+    starts, ends = [0], [len(joined)]
+    if len(parts) > words:
+        gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+        starts, ends = [0, *(gaps[: len(parts) - words] + 1).tolist()], [*gaps[words - 1 :].tolist(), len(joined)]
+    hashes = np.fromiter((xxhash.xxh32_intdigest(joined[s:e]) for s, e in zip(starts, ends, strict=True)), np.uint32, len(starts))
+    return np.unique(hashes)[:SKETCH]
+
+
+def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity by the smallest hashes of the union; exact for sets within the sketch, 0.035 off (one sigma) at 0.8 beyond."""
+    both = np.concatenate([a, b])
+    if not both.size:
+        return 1.0
+    values, counts = np.unique(both, return_counts=True)
+    full = max(a.size, b.size) >= SKETCH
+    counts = counts[:SKETCH] if full else counts
+    return float((counts == 2).mean())
+
+
+@F.pandas_udf(BinaryType())
+def _sketches(text: pd.Series) -> pd.Series:
+    return pd.Series([sketch_of(t).tobytes() for t in text], dtype=object)
+
+
+@F.pandas_udf(DoubleType())
+def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([sketch_similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(a, b, strict=True)])
+
+
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 7, blocks: int = 9, similarity: float = 0.8
+) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: that of the smallest id. Columns unchanged.
+
+    Fingerprints within ``radius`` bits are candidates. A candidate link, and the link of each document with the first of its candidate
+    group, counts where the sets of five-word shingles have the ``similarity``. Equal fingerprints are one group; texts without words are
+    copies of each other. Null ids come last; of rows with equal ids one stays; an empty table gives an empty result.
+    """
+    marked = settle(
+        docs.select(F.struct(*[col(c) for c in docs.columns]).alias("doc"), col(doc_id).alias("id"), col(text).alias("t"))
+        .select("doc", "id", _fingerprints("t").alias("fp"), _sketches("t").alias("sketch"), F.monotonically_increasing_id().alias("row"))
+    )
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row"))
+    prints = settle(marked.groupBy("fp").agg(F.min(F.struct(order.alias("o"), F.col("sketch").alias("s"))).alias("one")))
+    prints = prints.select("fp", F.col("one.o").alias("first"), F.col("one.s").alias("sketch"))
+    links = settle(fingerprint_links(prints.select("fp"), radius, blocks))
+    star = components(links).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    known = prints.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), prints.select(F.col("fp").alias("b"), F.col("sketch").alias("sb"))
+    pairs = links.unionByName(star).distinct().join(known[0], "a").join(known[1], "b")
+    groups = components(pairs.where(_similarity("sa", "sb") >= similarity).select("a", "b"))
+    placed = prints.join(groups, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("group"))
+    stay = settle(placed.agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")))
+    return marked.join(stay, "row", "left_semi").select("doc.*")
