@@ -2,11 +2,56 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewright.llm.common import settle, table
+from tracewright.llm import bpe, mixing, quality, simhash, suffix_dedup
+from tracewright.llm.common import settle, table, tune, word_count
 
-STAGES: list = []
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on ``labels``, rejects go."""
+    tune(spark)
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    tune(spark)
+    return simhash.keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 400 bytes or more that stand elsewhere too are cut out of the texts; every document stays."""
+    tune(spark)
+    return suffix_dedup.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    tune(spark)
+    sized = docs.select(*docs.columns, word_count(F.col("text")).alias("size"))
+    taken = mixing.mix(sized).where("copies > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, their number, and whether decoding them gives the text back."""
+    tune(spark)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe.decode(bpe.encode(docs, path), path)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return coded.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+
+
+STAGES: list = [
+    ("quality classifier", classify),
+    ("SimHash near-dedup", near_dedup),
+    ("suffix-array dedup", substring_dedup),
+    ("mixing sources to target weights", mix),
+    ("BPE encoding and decoding", tokenize),
+]
 #: no SQL states the stages (a trained classifier, hashes, BPE): tests/llm compares them with brute force
 ORACLE_SQL = None
 
