@@ -2,16 +2,57 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.plans.settle import settle  # noqa: F401
+from tracewright.plans.settle import shared_folder
+
+#: folders of intermediate tables that this process has written and not released, with the name of the table if it has one
+_WRITTEN: dict[str, str | None] = {}
 
 #: separators of words everywhere in this subpackage: space and the five ASCII controls from tab to carriage return
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK = 4096
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write the rows once to the shared folder and read them back."""
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    _WRITTEN[path] = None
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle_bucketed(df: DataFrame, key: str) -> DataFrame:
+    """As ``settle``, as a table in buckets of ``key``, so that joins and groupings by it do not shuffle these rows."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    _WRITTEN[path] = name
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def written() -> set[str]:
+    """Folders of the intermediate tables that exist now."""
+    return set(_WRITTEN)
+
+
+def release(spark: SparkSession, paths: set[str], still: DataFrame) -> None:
+    """Delete intermediate tables whose results are stored elsewhere by now, but none that ``still`` reads."""
+    read = still.inputFiles()
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths & set(_WRITTEN):
+        if not any(path.rsplit("/", 1)[1] in f for f in read):
+            if name := _WRITTEN[path]:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(hadoop).delete(folder, True)
+            del _WRITTEN[path]
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings for text-heavy Python stages: small Arrow batches keep a task's memory bounded."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tracewright.llm.common import settle, with_ordinals
+from tracewright.llm.common import CHUNK, col, fresh, settle, with_ordinals
 
 BITS, LEVELS = 9, 7  # 63 bits of hash
 
@@ -106,3 +106,25 @@ def mix(
         "copies", F.col("base") + F.when(F.col("bound").isNotNull() & below, 1).otherwise(0)
     )
     return taken.drop("_ordinal", "h", "sid", "base", "bound")
+
+
+def mixed_documents(docs: DataFrame, size: Column, source: str = "source", **options) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; columns unchanged.
+
+    The mix is worked out over a digest, source and size of each row; the rows themselves move once at most. Rows that are equal
+    in all columns share their copies. Other arguments are those of ``mix``.
+    """
+    key, n, total, copy = (fresh(docs, c) for c in ("_key", "_n", "_total", "_copy"))
+    digest = F.md5(F.to_json(F.struct(*[col(c) for c in docs.columns]), {"ignoreNullFields": "false"}))
+    slim = settle(docs.select(digest.alias("key"), col(source).alias("source"), size.alias("size")))
+    taken = mix(slim, **options).groupBy("key").agg(F.count(F.lit(1)).alias(n), F.sum("copies").cast("long").alias(total))
+    taken = settle(taken.where(F.col(total) > 0).withColumnRenamed("key", key))
+    keyed = docs.select(*[col(c) for c in docs.columns], digest.alias(key))
+    once = keyed.join(taken.where(F.col(n) == 1), key).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(total))))
+    same = keyed.join(taken.where(F.col(n) > 1), key).dropDuplicates([key])
+    chunks = same.withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{total}` - 1) div {CHUNK}"))))
+    first = F.col(copy) * CHUNK
+    more = chunks.repartition(F.col(key), F.col(copy)).withColumn(
+        copy, F.explode(F.sequence(first, F.least(F.col(total), first + CHUNK) - 1))
+    )
+    return once.unionByName(more).select(*[col(c) for c in docs.columns])

@@ -16,7 +16,6 @@ shuffles text. Every grouping is combined before its shuffle and every join back
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import col, fresh, settle
-from tracewright.plans.settle import shared_folder
+from tracewright.llm.common import col, fresh, settle, settle_bucketed
 
 LAST = 2**63 - 1
 _PIECE = 1 << 19
@@ -190,7 +188,6 @@ def rank_of(order: Column | None) -> Column:
 
 def distinct_texts(docs: DataFrame, text: str, order: str | None) -> DataFrame:
     """Each text once: ``key``, ``text`` (bytes), ``copies`` and the smallest id ``ord``; bucketed by key in the shared folder."""
-    spark = docs.sparkSession
     raw = docs.select(
         text_key(col(text)).alias("key"), F.coalesce(col(text), F.lit("")).cast("binary").alias("text"),
         rank_of(col(order) if order else None).alias("ord"),
@@ -198,11 +195,7 @@ def distinct_texts(docs: DataFrame, text: str, order: str | None) -> DataFrame:
     once = raw.groupBy("key").agg(
         F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"), F.min("ord").alias("ord")
     )
-    name = f"texts_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (once.write.bucketBy(buckets, "key").option("compression", "zstd")
-     .option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name))
-    return spark.table(name)
+    return settle_bucketed(once, "key")
 
 
 def _per_text(texts: DataFrame, spans: DataFrame) -> DataFrame:
