@@ -2,43 +2,60 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import bpe, mixing, quality, simhash, suffix_dedup
-from tracewright.llm.common import settle, table, tune, word_count
+from tracewright.llm.common import release, settle, table, tune, word_count, written
+
+
+_SPENT: set[str] = set()
+
+
+def stage(fn):
+    """A stage whose intermediate tables go when the next stage starts, as its own result is stored by then."""
+
+    @wraps(fn)
+    def started(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(tune(spark), _SPENT, docs)
+        before = written()
+        out = fn(spark, docs, sf_dir)
+        _SPENT.update(written() - before)
+        return out
+
+    return started
 
 
+@stage
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on ``labels``, rejects go."""
-    tune(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    tune(spark)
     return simhash.keep_one(docs)
 
 
+@stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 400 bytes or more that stand elsewhere too are cut out of the texts; every document stays."""
-    tune(spark)
     return suffix_dedup.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    tune(spark)
-    sized = docs.select(*docs.columns, word_count(F.col("text")).alias("size"))
-    taken = mixing.mix(sized).where("copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).select(*docs.columns)
+    return mixing.mixed_documents(docs, word_count(F.col("text")))
 
 
+@stage
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, their number, and whether decoding them gives the text back."""
-    tune(spark)
     path = public_tokenizers.path("byte_bpe_50k.json")
     coded = bpe.decode(bpe.encode(docs, path), path)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
