@@ -40,7 +40,7 @@ for _c in range(33, 127):
 
 
 def features_of(text: str | None) -> list[float]:
-    """Figures of one whole text, all between 0 and about 1; zeros for a text without words."""
+    """Figures of one whole text, of the order of 1; zeros for a text without words."""
     words = (text or "").split()
     if not words:
         return [0.0] * len(NAMES)
@@ -57,7 +57,7 @@ def features_of(text: str | None) -> list[float]:
     same = sum(a == b for a, b in zip(words, words[1:], strict=False))
     ends = sum(not (w[-1].isalnum() or w[-1] in _PLAIN) for w in words)
     return [
-        float(np.log1p(n)) / 10, solid / n / 10, float(np.log1p(max(map(len, words)))) / 5, letters / solid,
+        float(np.log1p(n)) / 10, float(np.log1p(solid / n)) / 5, float(np.log1p(max(map(len, words)))) / 5, letters / solid,
         float(kinds[2]) / max(1, letters), float(kinds[3]) / solid, float(kinds[4]) / solid, float(marks[124]) / n,
         float(marks[33]) / n, beyond / solid, len(counts) / n, max(counts.values()) / n, same / n, ends / n,
         float(np.log1p(len(lines))) / 10, len(set(lines)) / max(1, len(lines)), float(np.log1p(n / max(1, len(lines)))) / 10,

@@ -82,13 +82,13 @@ class BKTree:
                     stack.append((child, on))
 
 
-def _join(roots: np.ndarray, node: int, others: np.ndarray, links: list[tuple[int, int]] | None = None) -> None:
-    """Merge the groups of ``others`` into that of ``node``; ``roots`` holds the group of each member, kept flat."""
+def _join(roots: np.ndarray, node: int, others: np.ndarray, links: list[tuple[int, int]]) -> None:
+    """Merge the groups of ``others`` into that of ``node``, by one direct link each; ``roots`` holds the group of each member, kept flat."""
     mine = roots[node]
-    for r in np.unique(roots[others]).tolist():
+    found, at = np.unique(roots[others], return_index=True)
+    for r, i in zip(found.tolist(), at.tolist(), strict=True):
         if r != mine:
-            if links is not None:
-                links.append((mine, r))
+            links.append((node, int(others[i])))
             roots[roots == r] = mine
 
 
@@ -97,13 +97,13 @@ def _shards_of(batches, radius: int, shard: int):
 
     def flush(key, values):
         fps = np.array(values, np.int64)
-        roots = np.arange(fps.size, dtype=np.int32)
+        roots, links = np.arange(fps.size, dtype=np.int32), []
         if fps.size > 1:
             u = fps.view(np.uint64)
             for node, hit in BKTree(u).search(u, radius):
                 if hit.size > 1:
-                    _join(roots, node, hit)
-        return key, values[0], fps.tobytes(), roots.tobytes()
+                    _join(roots, node, hit, links)
+        return key, values[0], fps.tobytes(), roots.tobytes(), np.array(links, np.int32).tobytes()
 
     key, values, out = None, [], []
     for b in batches:
@@ -122,13 +122,13 @@ def _shards_of(batches, radius: int, shard: int):
         yield _rows(out)
 
 
-_SHARD = "key long, first long, fps binary, roots binary"
+_SHARD = "key long, first long, fps binary, roots binary, links binary"
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, ["key", "first", "fps", "roots"])
+    return pa.RecordBatch.from_arrays(arrays, ["key", "first", "fps", "roots", "links"])
 
 
 def _pairs(a: list, b: list) -> pa.RecordBatch:
@@ -138,12 +138,11 @@ def _pairs(a: list, b: list) -> pa.RecordBatch:
 def _inside(batches):
     for x in batches:
         a, b = [], []
-        for fps, roots in zip(x.column("fps").to_pylist(), x.column("roots").to_pylist(), strict=True):
-            if len(fps) > 8:
-                f, r = np.frombuffer(fps, np.int64), np.frombuffer(roots, np.int32)
-                own = np.flatnonzero(r != np.arange(r.size))
-                a += f[own].tolist()
-                b += f[r[own]].tolist()
+        for fps, links in zip(x.column("fps").to_pylist(), x.column("links").to_pylist(), strict=True):
+            if links:
+                f, at = np.frombuffer(fps, np.int64), np.frombuffer(links, np.int32)
+                a += f[at[::2]].tolist()
+                b += f[at[1::2]].tolist()
         yield _pairs(a, b)
 
 
@@ -182,7 +181,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, blocks: int = 4, shard: i
     keyed = fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
     dealt = keyed.repartitionByRange("key", "fp").sortWithinPartitions("key", "fp")
     shards = settle(dealt.mapInArrow(lambda it: _shards_of(it, radius, shard), _SHARD))
-    inside = shards.select("fps", "roots").mapInArrow(_inside, "a long, b long")
+    inside = shards.select("fps", "links").mapInArrow(_inside, "a long, b long")
     other = shards.select("key", F.col("first").alias("first2"), F.col("fps").alias("fps2"), F.col("roots").alias("roots2"))
     across = shards.join(other, "key").where("first < first2").select("fps", "roots", "fps2", "roots2")
     return inside.unionByName(across.mapInArrow(lambda it: _across(it, radius), "a long, b long"))
