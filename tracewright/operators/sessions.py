@@ -216,11 +216,11 @@ def user_facts(text: Column) -> Column:
     )
 
 
-def user_activity(lines: DataFrame, username: str, seeds: Sequence[str] = (), max_rounds: int = 20) -> DataFrame:
+def user_activity(lines: DataFrame, username: str, seeds: Sequence[str] = ()) -> DataFrame:
     """Lines that mention ``username`` or an id learned earlier in the same environment.
 
     ``lines`` carries environment_key, pos and text. Lines naming the user teach the id they state; lines mentioning a
-    known id from its first position on teach theirs. Rounds repeat until no id appears earlier than before; each round
+    known id from its first position on teach theirs. Rounds repeat until no id appears earlier than before, however long the chain; each round
     joins on the environment with a containment test, the known ids being the small side.
     """
     named = F.contains(F.lower("text"), F.lit(username.lower()))
@@ -234,7 +234,7 @@ def user_activity(lines: DataFrame, username: str, seeds: Sequence[str] = (), ma
             base.select("environment_key").distinct().select("environment_key", seed, F.lit(-1).cast("bigint").alias("since"))
         ).groupBy("environment_key", "known_id").agg(F.min("since").alias("since"))
     known = settle(known)
-    for _ in range(max_rounds):
+    while True:
         taught = (
             base.where(F.col("_id").isNotNull())
             .join(known, "environment_key")
@@ -249,8 +249,6 @@ def user_activity(lines: DataFrame, username: str, seeds: Sequence[str] = (), ma
         known = wider
         if done:
             break
-    else:
-        raise RuntimeError("user activity did not settle; raise max_rounds")
     mentioned = (
         base.join(known, "environment_key")
         .where((F.col("pos") >= F.col("since")) & F.contains("text", F.col("known_id")))

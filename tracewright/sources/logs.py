@@ -107,9 +107,9 @@ MARKERS = {
     "GameVersion": "(?i)<Game Version>",
     "SetDatabaseVersion": "(?i)<SetDatabaseVersion>",
     "JoinPU": "(?i)<Join PU>",
-    "FileVersion": "(?i)(?<!\w)FileVersion(?!\w)",
-    "ProductVersion": "(?i)(?<!\w)ProductVersion(?!\w)",
-    "Branch": "(?i)(?<!\w)Branch(?!\w)",
+    "FileVersion": r"(?i)(?<!\w)FileVersion(?!\w)",
+    "ProductVersion": r"(?i)(?<!\w)ProductVersion(?!\w)",
+    "Branch": r"(?i)(?<!\w)Branch(?!\w)",
 }
 
 
