@@ -89,6 +89,18 @@ def test_decisions_keep_every_row(spark):
     assert [r[0] for r in got] == ["emitted", "suppressed_duplicate", "emitted"]
 
 
+def test_null_times_and_keys_lose_nothing(spark):
+    data = [("a", "x", None, 1), ("a", "x", 0, 2), ("a", "x", 5, 3), ("a", "x", 50, 4), ("a", "x", None, 5)]
+    data += [(None, "x", 7 * i, 10 + i) for i in range(60)] + [("b", None, 0, 90), ("b", None, 3, None)]
+    df = spark.createDataFrame(data, "key string, part string, ms bigint, id bigint")
+    timed = [(f"{k}/{p}", ms, i) for k, p, ms, i in data if ms is not None and i is not None]
+    want = sorted([i for _, _, i in fold(timed, 25)] + [1, 5])
+    for max_fold in (10**6, 10):
+        got = dedupe.dedupe_bounded(df, ["key", "part"], "ms", "id", 25, max_fold)
+        assert got.columns == df.columns and sorted(r.id for r in got.collect()) == want
+        assert dedupe.decide(df, ["key", "part"], "ms", "id", 25, max_fold).count() == len(data)
+
+
 def test_top_n(rows):
     got = top_n(rows, ["key"], [F.desc("t")], 2).groupBy("key").agg(F.count("*").alias("n"), F.max("t").alias("t")).collect()
     best = {r.key: r.t for r in rows.groupBy("key").agg(F.max("t").alias("t")).collect()}

@@ -39,16 +39,24 @@ def kept_instants(df: DataFrame, keys: Sequence[str], ms: str, ident: str, windo
     after the kept one. Rows are taken in time order; two rows of a key at one instant collapse to the smaller id before
     anything is shuffled by key. Keys with more than ``max_fold`` instants are cut into time chunks: each chunk reports
     where it would leave off for every possible entry, the chunks of a key are chained over those reports, and each
-    chunk then keeps its rows from its known entry.
+    chunk then keeps its rows from its known entry. A null part of a key is a value like others; rows without a time have
+    no place in the order and take no part.
     """
     keys = list(keys)
-    once = df.groupBy(*keys, ms).agg(F.min(ident).alias(ident), F.max(window).alias("_w"))
+    once = df.where(F.col(ms).isNotNull()).groupBy(*keys, ms).agg(F.min(ident).alias(ident), F.max(window).alias("_w"))
     hot = once.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_fold).select(*keys)
     if hot.isEmpty():
         return _fold(once, keys, ms, ident)
     hot, once = settle(hot), settle(once)
-    cold = once.join(F.broadcast(hot), keys, "left_anti")
-    return _fold(cold, keys, ms, ident).unionByName(_chunked(once.join(F.broadcast(hot), keys, "left_semi"), keys, ms, ident))
+    cold = _joined(once, hot, keys, "left_anti")
+    return _fold(cold, keys, ms, ident).unionByName(_chunked(_joined(once, hot, keys, "left_semi"), keys, ms, ident))
+
+
+def _joined(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join on equal columns, where null equals null."""
+    named = right.select(*[F.col(c).alias(f"_on_{c}" if c in on else c) for c in right.columns])
+    out = left.join(named, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on], how)
+    return out.drop(*[f"_on_{c}" for c in on])
 
 
 def _fold(once: DataFrame, keys: list[str], ms: str, ident: str) -> DataFrame:
@@ -111,25 +119,24 @@ def _chunked(once: DataFrame, keys: list[str], ms: str, ident: str) -> DataFrame
     )
     entries = reports.groupBy(*keys).applyInPandas(chain, f"{head}, _chunk bigint, _entry bigint")
     return (
-        cut.join(entries, [*keys, "_chunk"])
+        _joined(cut, entries, [*keys, "_chunk"], "inner")
         .groupBy(*keys, "_chunk")
         .applyInPandas(keep, f"{head}, `{ms}` {types[ms]}, `{ident}` {types[ident]}")
     )
 
 
 def decide(df: DataFrame, keys: Sequence[str], ms: str, ident: str, window: Column | int, max_fold: int = MAX_FOLD) -> DataFrame:
-    """Every row with ``decision`` emitted or suppressed_duplicate."""
+    """Every row with ``decision`` emitted or suppressed_duplicate. Rows without a time are emitted: nothing shows them to be repeats."""
     w = window if isinstance(window, Column) else F.lit(window).cast("bigint")
     kept = kept_instants(df, keys, ms, ident, w, max_fold).withColumn("_kept", F.lit(True))
-    marked = df.join(kept, [*keys, ms, ident], "left")
-    return marked.withColumn("decision", F.when(F.col("_kept"), "emitted").otherwise("suppressed_duplicate")).drop("_kept")
+    marked = _joined(df, kept, [*keys, ms, ident], "left")
+    stays = F.col("_kept").isNotNull() | F.col(ms).isNull()
+    return marked.withColumn("decision", F.when(stays, "emitted").otherwise("suppressed_duplicate")).drop("_kept")
 
 
 def dedupe_bounded(df: DataFrame, keys: Sequence[str], ms: str, ident: str, window: Column | int, max_fold: int = MAX_FOLD) -> DataFrame:
     """Only the kept rows."""
-    w = window if isinstance(window, Column) else F.lit(window).cast("bigint")
-    kept = kept_instants(df, keys, ms, ident, w, max_fold)
-    return df.join(kept, [*keys, ms, ident], "left_semi")
+    return decide(df, keys, ms, ident, window, max_fold).where(F.col("decision") == "emitted").select(*df.columns)
 
 
 def decision_counts(decisions: DataFrame, keys: Sequence[str]) -> DataFrame:
