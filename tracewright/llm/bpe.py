@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import operator
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +27,8 @@ from tracewright.llm.common import col, fresh
 
 MOST_BYTES = 64 << 20
 #: words kept in a worker's memory of encoded words, and their greatest length; it saves time only
-MEMORY, MEMORY_WORD = 200_000, 64
+MEMORY, MEMORY_WORD = 500_000, 64
+_GROUP = operator.methodcaller("group")
 #: Fixed values of byte-level pre-tokenization: the split pattern, with white space by the Unicode property, and the printable bytes
 SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PATTERN = (
@@ -43,6 +46,25 @@ def byte_letters() -> list[str]:
     return letters
 
 
+class Memory(dict):
+    """Encoded words. When full, the younger words become the older ones, which still answer until it is full again."""
+
+    def __init__(self, merge: Callable[[bytes], bytes]) -> None:
+        super().__init__()
+        self.merge, self.older = merge, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.merge(word.encode())
+        if len(word) <= MEMORY_WORD:
+            if len(self) >= MEMORY:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Codec:
     """One vocabulary: text to ids and back."""
 
@@ -52,64 +74,57 @@ class Codec:
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         self.first = [vocab[c] for c in letters]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(given["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.ranks[vocab[a], vocab[b]] = rank
+            self.made.append(vocab[a + b])
         self.bytes = {i: bytes(byte_of[c] for c in s) for s, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in given["added_tokens"]}
         self.bytes |= {i: s.encode() for s, i in self.special.items()}
         longest = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
         self.words = regex.compile(PATTERN)
-        self.memory: dict[str, array] = {}
+        self.memory = Memory(self.merge)
 
-    def merge(self, word: bytes) -> array:
-        """Ids of one word."""
+    def merge(self, word: bytes) -> bytes:
+        """Ids of one word, as 32-bit integers."""
         sym = [self.first[b] for b in word]
-        n = len(sym)
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue: list[tuple[int, int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = right[i]
-            if j < n and (m := self.merges.get((sym[i], sym[j]))):
-                queue.append((m[0], i, sym[i], sym[j], m[1]))
-
-        for i in range(n):
-            offer(i)
+        n, ranks, made = len(sym), self.ranks, self.made
+        # a symbol that is merged away, and the place behind the last one, hold -1, which is in no pair
+        sym.append(-1)
+        left, right = list(range(-1, n)), list(range(1, n + 2))
+        # one integer per entry: the rank in front, the place behind it
+        bits = n.bit_length()
+        place = (1 << bits) - 1
+        queue = [r << bits | i for i, pair in enumerate(zip(sym, sym[1:], strict=False)) if (r := ranks.get(pair)) is not None]
         heapq.heapify(queue)
         while queue:
-            _, i, a, b, new = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            i, rank = entry & place, entry >> bits
             j = right[i]
-            if sym[i] != a or j >= n or sym[j] != b:
+            if j > n or ranks.get((sym[i], sym[j])) != rank:
                 continue  # stale: one of the two has been merged away
-            sym[i], sym[j] = new, -1
-            right[i] = right[j]
-            if right[i] < n:
-                left[right[i]] = i
-            for k in (left[i], i):
-                if k >= 0 and right[k] < n and (m := self.merges.get((sym[k], sym[right[k]]))):
-                    heapq.heappush(queue, (m[0], k, sym[k], sym[right[k]], m[1]))
-        return array("i", [s for s in sym if s >= 0])
-
-    def encode(self, text: str | None) -> array:
-        ids, memory = array("i"), self.memory
-        for part in self.cut.split(text or "") if self.cut else [text or ""]:
+            k = right[j]
+            sym[i], sym[j] = made[rank], -1
+            right[i], left[k] = k, i
+            h = left[i]
+            if (r := ranks.get((sym[h], sym[i]))) is not None:
+                heapq.heappush(queue, r << bits | h)
+            if (r := ranks.get((sym[i], sym[k]))) is not None:
+                heapq.heappush(queue, r << bits | i)
+        return array("i", [s for s in sym if s >= 0]).tobytes()
+
+    def encode(self, text: str | None) -> np.ndarray:
+        parts = self.cut.split(text or "") if self.cut else [text or ""]
+        ids = []
+        for part in parts:
             if part in self.special:
-                ids.append(self.special[part])
-                continue
-            for found in self.words.finditer(part):
-                word = found.group()
-                known = memory.get(word)
-                if known is None:
-                    known = self.merge(word.encode())
-                    if len(word) <= MEMORY_WORD:
-                        if len(memory) >= MEMORY:
-                            memory.clear()
-                        memory[word] = known
-                ids.extend(known)
-        return ids
+                ids.append(np.int32(self.special[part]).tobytes())
+            else:
+                ids.append(b"".join(map(self.memory.__getitem__, map(_GROUP, self.words.finditer(part)))))
+        return np.frombuffer(b"".join(ids), np.int32)
 
     def decode(self, ids) -> str:
         """Concatenated strings of the ids; unknown ids add nothing, bytes that are not UTF-8 become U+FFFD."""
@@ -134,7 +149,7 @@ class Tokenizer:
         @F.pandas_udf("array<int>")
         def encode(text: pd.Series) -> pd.Series:
             codec = _codec(shipped.value)
-            return pd.Series([np.array(codec.encode(t), np.int32) for t in text], dtype=object)
+            return pd.Series([codec.encode(t) for t in text], dtype=object)
 
         @F.pandas_udf("string")
         def decode(ids: pd.Series) -> pd.Series:
