@@ -38,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = settle(pairs.where("hi is not null and lo is not null").distinct())
     before = _sign(e)
     while before[0]:
-        e = settle(_small_star(_large_star(e).distinct()).distinct())
+        e = settle(_small_star(_large_star(e)).distinct())
         after = _sign(e)
         if after == before:
             break
