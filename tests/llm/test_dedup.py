@@ -76,6 +76,43 @@ def test_de_bruijn_brute_force(spark, texts, length):
         assert rows[d] == want, d
 
 
+def brute_first(rows, length):
+    """Words removed and text kept of each (id, text); null ids come last and are one."""
+    rank = [float("inf") if i is None else i for i, _ in rows]
+    first, words = {}, [WORD.findall(t.encode()) for _, t in rows]
+    for d, w in enumerate(words):
+        for i in range(len(w) - length + 1):
+            gram = tuple(w[i : i + length])
+            first[gram] = min(first.get(gram, rank[d]), rank[d])
+    out = []
+    for d, w in enumerate(words):
+        hit = [False] * len(w)
+        for i in range(len(w) - length + 1):
+            if first[tuple(w[i : i + length])] < rank[d]:
+                hit[i : i + length] = [True] * length
+        out.append((sum(hit), b" ".join(x for x, h in zip(w, hit, strict=True) if not h)))
+    return out
+
+
+@pytest.mark.parametrize("part", [50, 57, 65, 90])
+def test_de_bruijn_every_copy_of_a_passage(spark, part):
+    """A passage that stands several times at one rank, of which a smaller document holds a part only."""
+    rng = random.Random(part)
+
+    def words(n):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    inner, other = words(part), words(part)
+    passage, nulls = f"{words(80)} {inner} {words(80)}", f"{words(80)} {other} {words(80)}"
+    rows = [(3, f"{words(9)} {inner} {words(9)}"), (5, " ".join(f"{words(7)} {passage}" for _ in range(4))), (2, f"{words(4)} {other}")]
+    rows += [(None, f"{words(6)} {nulls} {words(5)}") for _ in range(3)]
+    rows += [(9, f"{words(5)} {passage} {words(3)}"), (8, f"{words(2)} {passage} {words(3)}"), (8, f"{words(5)} {passage}")]
+    docs = spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(rows)], "no long, doc_id long, text string")
+    found = debruijn.attach_first(docs, debruijn.first_occurrences(docs)).collect()
+    got = {r["no"]: (r["n_removed"], bytes(r["kept"])) for r in found}
+    assert [got[k] for k in range(len(rows))] == brute_first(rows, 50)
+
+
 def brute_fingerprint(text):
     w = [x.lower() for x in WORD.findall((text or "").encode())]
     if not w:

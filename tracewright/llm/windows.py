@@ -7,7 +7,8 @@ have equal owners at equal distances, wherever they stand; runs of windows with
 1. the owner's gram alone: owners with a unique gram hold no repeated window and drop out;
 2. runs are cut into cells by the distance to their owner. The *core* of a cell is what all its windows share, the *hull* what they
    cover together. A unique core ends the cell; a hull that occurs twice settles all its windows at once; a core
-   with several hulls branches, and one copy of each hull is cut finer;
+   with several hulls branches, and one copy of each hull is cut finer (all copies of the smallest ``ord`` of the hull, where only
+   windows of smaller texts count and the hull has no source yet);
 3. the last cells are single windows, where core and hull are the window itself.
 
 Equality is that of 128-bit digests of the content. Texts are kept once, in a table bucketed by their digest, so no round
@@ -242,11 +243,19 @@ def repeated_windows(texts: DataFrame, plan: Plan, smaller: bool) -> DataFrame:
         if size == 1:
             break
         open_ = F.max("least") > F.min("least") if smaller else F.min("c") == 1
-        branching = hulls.groupBy("core").agg(F.count(F.lit(1)).alias("width"), open_.alias("open")).where("width > 1 and open")
-        spans = hulls.join(branching, "core", "left_semi").select(
-            F.col("one.key").alias("key"), F.col("one.a").alias("a"), F.col("one.lo").alias("lo"), F.col("one.n").alias("n"),
-            F.col("c").alias("w"),
-        )
+        branching = hulls.groupBy("core").agg(
+            F.count(F.lit(1)).alias("width"), open_.alias("open"), F.min("least").alias("first")
+        ).where("width > 1 and open")
+        if smaller:
+            # every copy that has no source yet goes on, but of hulls that hold the first text of their core one copy as a source
+            cut = hulls.join(branching, "core").select("hull", "least", "first", "one")
+            spans = cells.join(cut, "hull").where("ord = least and (least > first or (key = one.key and a = one.a and lo = one.lo))")
+            spans = spans.select("key", "a", "lo", "n", "w")
+        else:
+            spans = hulls.join(branching, "core", "left_semi").select(
+                F.col("one.key").alias("key"), F.col("one.a").alias("a"), F.col("one.lo").alias("lo"), F.col("one.n").alias("n"),
+                F.col("c").alias("w"),
+            )
     return found
 
 
