@@ -174,6 +174,87 @@ def test_keep_one(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def brute_keep(given):
+    """Ids that stay: the smallest of each component of pairs of similarity 0.8 or more."""
+    sets = []
+    for t in given:
+        w = [x.lower() for x in WORD.findall((t or "").encode())]
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(given)), 2)]
+    links = [(a, b) for a, b in pairs if not (sets[a] | sets[b]) or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    return sorted(set(roots_of(len(given), links))), links
+
+
+def kept_by(spark, given):
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    return sorted(r["doc_id"] for r in simhash.keep_one(docs).collect())
+
+
+def words_of(rng, n):
+    return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def test_keep_one_all_pairs(spark):
+    """Families of changed copies around the threshold, short and long: far fingerprints and bridges included."""
+    rng, given = random.Random(11), []
+    for n in (8, 12, 20, 40, 80, 200, 600):
+        for _ in range(12):
+            base = words_of(rng, n)
+            given.append(" ".join(base))
+            for changes in range(1, 4):
+                copy = list(base)
+                cut = rng.randint(1, max(1, n // 8))
+                copy[-cut:] = words_of(rng, rng.randint(0, cut + 1))
+                for _ in range(changes - 1):
+                    copy[rng.randrange(len(copy))] = "new"
+                given.append(" ".join(copy))
+    want, links = brute_keep(given)
+    fps = [brute_fingerprint(t) for t in given]
+    assert any((fps[a] ^ fps[b]).bit_count() > 7 for a, b in links)
+    assert kept_by(spark, given) == want
+
+
+def test_keep_one_equal_fingerprints(spark):
+    """A frequent line decides every bit of texts that share nothing else."""
+    rng = random.Random(12)
+    given = ["one two three " * 900 + " ".join(words_of(rng, 60)) for _ in range(4)]
+    given += [given[1] + " tail"]
+    assert len({brute_fingerprint(t) for t in given}) == 1
+    assert kept_by(spark, given) == brute_keep(given)[0] == [0, 1, 2, 3]
+
+
+def test_keep_one_bridged(spark):
+    """Texts of one frequent line are near each other in bits; only pairs among them are similar."""
+    rng, given = random.Random(15), []
+    for _ in range(20):
+        tail = words_of(rng, 60)
+        given += ["one two three " * 12 + " ".join(tail), "one two three " * 12 + " ".join([*tail[:-1], "end"])]
+    fps = [brute_fingerprint(t) for t in given]
+    assert len(set(fps)) > 20 and sum((a ^ b).bit_count() <= 7 for a, b in itertools.combinations(fps, 2)) > 200
+    want, _ = brute_keep(given)
+    assert len(want) == 20 and kept_by(spark, given) == want
+
+
+def test_keep_one_exact_at_the_threshold(spark):
+    """Texts of a thousand words just above and just below the similarity."""
+    rng, given = random.Random(13), []
+    for k in range(40):
+        base, cut = words_of(rng, 1000), 109 if k % 2 else 113
+        given += [" ".join(base), " ".join([*base[:-cut], *words_of(rng, cut)])]
+    want, links = brute_keep(given)
+    assert len(links) == 20 and kept_by(spark, given) == want
+
+
+def test_similar_links_across_blocks(spark, monkeypatch):
+    rng, given = random.Random(14), []
+    common = words_of(rng, 60)
+    for k in range(30):
+        base = [*common, *words_of(rng, 20 if k % 3 else 4)]
+        given += [" ".join(base), " ".join([*base[:-1], "x"])]
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    assert kept_by(spark, given) == brute_keep(given)[0]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(none).count() == 0

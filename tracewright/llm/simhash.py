@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from tracewright.llm.common import col, fresh, settle
 from tracewright.llm.components import components
@@ -205,42 +205,100 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(known, F.col(fp) == F.col("_fp")).drop("_fp")
 
 
-SKETCH = 128
+#: minimum hashes of a set in BANDS bands of ROWS: at a similarity of 0.8 no band agrees with a probability of 5e-8
+BANDS, ROWS = 32, 4
+#: members and bytes of text of a block of a candidate cluster
+BLOCK, BLOCK_BYTES = 256, 8 << 20
+_U = np.uint64
+_MULTIPLY, _ADD = np.random.default_rng(20240301).integers(1, 2**63, (2, BANDS * ROWS, 1), dtype=_U) << _U(1) | _U(1)
 
 
-def sketch_of(text: str | None, words: int = 5) -> np.ndarray:
-    """The smallest ``SKETCH`` 32-bit hashes of the set of word shingles; the whole set where it is no larger."""
+def shingles_of(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the set of word shingles; a shorter text is one shingle, a text without words has none."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return np.zeros(0, np.uint32)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     starts, ends = [0], [len(joined)]
     if len(parts) > words:
         gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
         starts, ends = [0, *(gaps[: len(parts) - words] + 1).tolist()], [*gaps[words - 1 :].tolist(), len(joined)]
-    hashes = np.fromiter((xxhash.xxh32_intdigest(joined[s:e]) for s, e in zip(starts, ends, strict=True)), np.uint32, len(starts))
-    return np.unique(hashes)[:SKETCH]
-
-
-def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity by the smallest hashes of the union; exact for sets within the sketch, 0.035 off (one sigma) at 0.8 beyond."""
-    both = np.concatenate([a, b])
-    if not both.size:
-        return 1.0
-    values, counts = np.unique(both, return_counts=True)
-    full = max(a.size, b.size) >= SKETCH
-    counts = counts[:SKETCH] if full else counts
-    return float((counts == 2).mean())
-
-
-@F.pandas_udf(BinaryType())
-def _sketches(text: pd.Series) -> pd.Series:
-    return pd.Series([sketch_of(t).tobytes() for t in text], dtype=object)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[s:e]) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+
+
+def bands_of(shingles: np.ndarray) -> list[int]:
+    """One key per band of minimum hashes; none for an empty set."""
+    if not shingles.size:
+        return []
+    least = np.full(BANDS * ROWS, ~_U(0))
+    for at in range(0, shingles.size, 2048):
+        np.minimum(least, (shingles[at : at + 2048] * _MULTIPLY + _ADD).min(1), out=least)
+    raw = least.tobytes()
+    step = 8 * ROWS
+    return [xxhash.xxh64_intdigest(raw[k * step : (k + 1) * step], k) - (1 << 63) for k in range(BANDS)]
+
+
+def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between positions of ``sets`` whose Jaccard similarity reaches ``similarity``, as many as join what all such links join."""
+    n = len(sets)
+    sizes = np.array([s.size for s in sets], np.int64)
+    owner = np.repeat(np.arange(n), sizes)
+    values, codes = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+    group, links, mark = np.arange(n), [], np.zeros(values.size, bool)
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    for i in range(n - 1):
+        if (group[i + 1 :] == group[i]).all():
+            continue
+        mine = codes[cuts[i] : cuts[i + 1]]
+        mark[mine] = True
+        tail = cuts[i + 1]
+        shared = np.bincount(owner[tail:][mark[codes[tail:]]] - i - 1, minlength=n - i - 1)
+        mark[mine] = False
+        union = sizes[i] + sizes[i + 1 :] - shared
+        near = np.flatnonzero(shared / np.maximum(union, 1) >= similarity) + i + 1
+        _join(group, i, near, links)
+    return links
+
+
+@F.pandas_udf(StructType().add("digest", BinaryType()).add("bands", ArrayType(LongType())))
+def _sets(text: pd.Series) -> pd.DataFrame:
+    found = [shingles_of(t) for t in text]
+    return pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in found], "bands": [bands_of(s) for s in found]})
+
+
+def candidate_links(sets: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Links ``(a, b)`` between the nodes of ``sets(node, fp, bands)`` that join all candidates: equal fingerprints, fingerprints within
+    ``radius`` bits, and equal minimum hashes in a band, whatever the distance of the fingerprints."""
+    prints = settle(sets.groupBy("fp").agg(F.min("node").alias("least")))
+    same = sets.join(prints, "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    ends = [prints.select(F.col("fp").alias(c), F.col("least").alias("n" + c)) for c in "ab"]
+    close = fingerprint_links(prints.select("fp"), radius, blocks).join(ends[0], "a").join(ends[1], "b").select("na", "nb")
+    dealt = sets.select("node", F.explode("bands").alias("band"))
+    least = dealt.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("most > least")
+    banded = dealt.join(least, "band").select("node", "least")
+    return same.union(close).union(banded).where("a <> b").distinct()
+
+
+def verified_links(texts: DataFrame, clusters: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` of similar texts within each cluster; ``texts(node, t)``, ``clusters(node, root)`` with the roots themselves.
+
+    Each text goes to its cluster once. A large cluster is dealt in blocks, and each pair of blocks is one group.
+    """
+    placed = settle(texts.join(clusters, "node"))
+    weight = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("t")) / BLOCK_BYTES)).cast("int")
+    sizes = placed.groupBy("root").agg(F.greatest(weight, F.lit(1)).alias("k"))
+    block = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    others = F.expr("filter(sequence(0, k - 1), x -> x <> block or k = 1)")
+    dealt = placed.join(sizes, "root").withColumn("block", block).withColumn("other", F.explode(others))
+    tiles = dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "t")
 
+    def links(group: pa.Table) -> pa.Table:
+        nodes = group.column("node").to_pylist()
+        found = similar_links([shingles_of(t) for t in group.column("t").to_pylist()], similarity)
+        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.int64()), "b": pa.array([nodes[j] for _, j in found], pa.int64())})
 
-@F.pandas_udf(DoubleType())
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([sketch_similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(a, b, strict=True)])
+    return tiles.groupBy("root", "i", "j").applyInArrow(links, "a long, b long")
 
 
 def keep_one(
@@ -248,22 +306,26 @@ def keep_one(
 ) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: that of the smallest id. Columns unchanged.
 
-    Fingerprints within ``radius`` bits are candidates. A candidate link, and the link of each document with the first of its candidate
-    group, counts where the sets of five-word shingles have the ``similarity``. Equal fingerprints are one group; texts without words are
-    copies of each other. Null ids come last; of rows with equal ids one stays; an empty table gives an empty result.
+    Groups are joined by pairs whose sets of five-word shingles have the ``similarity``, decided on the whole sets. Candidates
+    (see ``candidate_links``) only say which texts are compared: all texts of a cluster of candidates are, so no link depends on a bridge.
+    Equal sets are copies, texts without words among them. Null ids come last; of rows with equal ids one stays; an empty table gives an
+    empty result.
     """
     marked = settle(
         docs.select(F.struct(*[col(c) for c in docs.columns]).alias("doc"), col(doc_id).alias("id"), col(text).alias("t"))
-        .select("doc", "id", _fingerprints("t").alias("fp"), _sketches("t").alias("sketch"), F.monotonically_increasing_id().alias("row"))
+        .select("doc", "id", _fingerprints("t").alias("fp"), _sets("t").alias("set"), F.monotonically_increasing_id().alias("row"))
     )
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row"))
-    prints = settle(marked.groupBy("fp").agg(F.min(F.struct(order.alias("o"), F.col("sketch").alias("s"))).alias("one")))
-    prints = prints.select("fp", F.col("one.o").alias("first"), F.col("one.s").alias("sketch"))
-    links = settle(fingerprint_links(prints.select("fp"), radius, blocks))
-    star = components(links).select(F.col("node").alias("a"), F.col("root").alias("b"))
-    known = prints.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), prints.select(F.col("fp").alias("b"), F.col("sketch").alias("sb"))
-    pairs = links.unionByName(star).distinct().join(known[0], "a").join(known[1], "b")
-    groups = components(pairs.where(_similarity("sa", "sb") >= similarity).select("a", "b"))
-    placed = prints.join(groups, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("group"))
-    stay = settle(placed.agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")))
+    one = F.min(F.struct(order.alias("o"), F.col("fp").alias("fp"), F.col("set.bands").alias("bands"))).alias("one")
+    sets = settle(
+        marked.groupBy(F.col("set.digest").alias("digest")).agg(one)
+        .select("one.o.last", "one.o.id", F.col("one.o.row").alias("node"), "one.fp", "one.bands")
+    )
+    known = components(candidate_links(sets.select("node", "fp", "bands"), radius, blocks))
+    clusters = settle(known.union(known.select("root", "root").distinct()))
+    texts = marked.select(F.col("row").alias("node"), col("doc").getField(text).alias("t"))
+    groups = components(settle(verified_links(texts, clusters, similarity)))
+    placed = sets.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("group"))
+    first = F.min(F.struct("last", "id", F.col("node").alias("row"))).alias("first")
+    stay = settle(placed.agg(first).select(F.col("first.row").alias("row")))
     return marked.join(stay, "row", "left_semi").select("doc.*")
