@@ -106,3 +106,25 @@ def test_url_rules(spark):
     assert got[2] == ("example.org", "/en/1", "example.org/en/1", "block")
     assert got[4][2:] == ("com/fr/", "allow") and got[5][2:] == ("com/de/", "block") and got[8][2:] == ("org/", "allow")
     assert got[6][:3] == ("", "", None) and got[7][:3] == ("", "", None) and all(v[3] in ("allow", "block") for v in got.values())
+
+
+def judged_sections(spark, rows):
+    """Verdicts of the first segment that differs: ``rows`` of (path, label, pages)."""
+    pages = [(f"http://h.net/{path}/{'page' * (k % 2)}x", label) for path, label, n in rows for k in range(n)]
+    docs = spark.createDataFrame(pages, "url string, label string")
+    return url_filter.judge_urls(docs, label="label").groupBy("path").agg(F.max("verdict"), F.min("verdict"), F.max("template")).collect()
+
+
+def test_url_wide_node(spark):
+    """A wholly blocked section among sixty even ones stays a branch of its own."""
+    out = judged_sections(spark, [(f"s{chr(97 + k // 26)}{chr(97 + k % 26)}", "block" if k == 7 else "allow", 200) for k in range(60)])
+    blocked = {r[0].split("/")[1] for r in out if r[1] == "block"}
+    assert blocked == {"sah"} and all(r[1] == r[2] for r in out)
+
+
+def test_url_deep_paths(spark):
+    """Branches below the fourth segment keep their own labels."""
+    out = judged_sections(spark, [(f"a/b/c/d/e/{w}", "block" if w == "bad" else "allow", 200) for w in ("good", "fine", "bad")])
+    assert {r[0].split("/")[6] for r in out if r[1] == "block"} == {"bad"} and all("**" not in r[3] for r in out)
+    lone = spark.createDataFrame([("http://h.net/" + "z/" * 300,), ("http://h.net/q",)], "url string")
+    assert max(len(r["template"]) for r in url_filter.judge_urls(lone).collect()) == 600

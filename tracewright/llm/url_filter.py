@@ -2,9 +2,9 @@
 
 The tree is built level by level over counted paths, never over single pages. Number and hash runs inside a segment are
 variable and become placeholders at once. On each level the branches of a node are compared with the node's pool by chi-square,
-once by what follows below them and once by their labels; branches that do not differ merge into a wildcard, as do the rare
-branches of a node with many. A template is then rejected by the share of blocked pages among its labelled ones, smoothed
-towards its host and the host towards all pages.
+once by what follows below them and once by their labels; branches that do not differ merge into a wildcard, rare ones like any
+other. The tree reaches to the end of every path; a path that is alone at its node needs no further level. A template is then
+rejected by the share of blocked pages among its labelled ones, smoothed towards its host and the host towards all pages.
 
 Everything runs on DataFrame functions; hosts with a third of all pages are combined before each shuffle.
 """
@@ -70,13 +70,11 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
     return text, verdict
 
 
-def typed_segments(path: Column, depth: int) -> Column:
-    """Segments of a path without empty ones; hash-like and digit runs become placeholders, what lies below ``depth`` becomes
-    one ``**``."""
+def typed_segments(path: Column) -> Column:
+    """Segments of a path without empty ones; hash-like and digit runs become placeholders."""
     plain = F.regexp_replace(path, r"(?i)(?<![0-9a-z])(?=[a-f]*[0-9])[0-9a-f]{8,}(?![0-9a-z])", "<hash>")
     plain = F.regexp_replace(plain, r"[0-9]+", "<n>")
-    parts = F.filter(F.split(plain, "/", -1), lambda s: s != "")
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
+    return F.filter(F.split(plain, "/", -1), lambda s: s != "")
 
 
 def _kind(segment: Column) -> Column:
@@ -98,16 +96,26 @@ def _chi(own: list[Column], own_n: Column, all_: list[Column], all_n: Column) ->
     return out
 
 
-def templates(paths: DataFrame, many: int = 50, rare: float = 0.02) -> DataFrame:
+def templates(paths: DataFrame) -> DataFrame:
     """Template of each counted path: ``paths(host, parts, n, allow, block)`` with ``template`` added."""
-    tree = settle(paths.withColumn("template", F.lit("")))
-    deepest = tree.agg(F.max(F.size("parts"))).first()[0] or 0
-    for d in range(deepest):
+    done: DataFrame | None = None
+    tree, d = settle(paths.withColumn("template", F.lit(""))), 0
+    while True:
+        # a path that is alone at its node has one branch on every further level, which stays as it is
+        shared = tree.groupBy("host", "template").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("host", "template")
+        whole = F.concat_ws("/", "template", F.slice("parts", d + 1, F.size("parts")))
+        ended = tree.where(F.size("parts") <= d).unionByName(
+            tree.where(F.size("parts") > d).join(shared, ["host", "template"], "left_anti").withColumn("template", whole)
+        )
+        done = ended if done is None else done.unionByName(ended)
+        tree = settle(tree.where(F.size("parts") > d).join(shared, ["host", "template"], "left_semi"))
+        if tree.isEmpty():
+            return done
         seg = F.try_element_at("parts", F.lit(d + 1))
         below = _kind(F.try_element_at("parts", F.lit(d + 2)))
         node = tree.withColumn("seg", seg)
         counts = [F.sum(F.when(below == k, F.col("n")).otherwise(0)).alias(f"k{k}") for k in range(4)]
-        branch = node.where("seg is not null").groupBy("host", "template", "seg").agg(
+        branch = node.groupBy("host", "template", "seg").agg(
             F.sum("n").alias("bn"), F.sum("allow").alias("ba"), F.sum("block").alias("bb"), *counts
         )
         branch = settle(branch)
@@ -120,19 +128,15 @@ def templates(paths: DataFrame, many: int = 50, rare: float = 0.02) -> DataFrame
         labels = F.col("ba") + F.col("bb")
         taste = _chi([F.col("ba"), F.col("bb")], labels, [F.col("pa"), F.col("pb")], F.col("pa") + F.col("pb"))
         alike = (shape <= CHI_3) & ((labels == 0) | (taste <= CHI_1))
-        scarce = (F.col("width") >= many) & (F.col("bn") < rare * F.col("pn"))
-        merged = F.when((F.col("width") > 1) & (alike | scarce), F.lit("*")).otherwise(F.col("seg"))
+        merged = F.when((F.col("width") > 1) & alike, F.lit("*")).otherwise(F.col("seg"))
         step = both.select("host", "template", "seg", merged.alias("to"))
-        tree = node.join(step, ["host", "template", "seg"], "left").withColumn(
-            "template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "to"))
-        )
-        tree = settle(tree.drop("seg", "to"))
-    return tree
+        tree = node.join(step, ["host", "template", "seg"]).withColumn("template", F.concat("template", F.lit("/"), "to"))
+        tree, d = settle(tree.drop("seg", "to")), d + 1
 
 
 def judge_urls(
-    pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, depth: int = 4, prior: float = 20.0,
-    reject: float = 0.6, label: str | None = None,
+    pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, prior: float = 20.0, reject: float = 0.6,
+    label: str | None = None,
 ) -> DataFrame:
     """Every row of ``pages`` with ``host``, ``path``, ``rule``, ``template``, ``purity`` and ``verdict`` (allow or block).
 
@@ -148,14 +152,14 @@ def judge_urls(
     ruled, parts, key = fresh(pages, "_ruled"), fresh(pages, "_parts"), fresh(pages, "_key")
     rows = pages.withColumn(host, host_of(col(url))).withColumn(path, path_of(col(url)))
     text, said = rule_of(F.col(host), F.col(path), rules)
-    rows = rows.withColumn(rule, text).withColumn(ruled, said).withColumn(parts, typed_segments(F.col(path), depth))
+    rows = rows.withColumn(rule, text).withColumn(ruled, said).withColumn(parts, typed_segments(F.col(path)))
     rows = rows.withColumn(key, F.concat_ws("/", F.col(parts)))
     truth = col(label) if label else F.col(ruled)
     yes, no = F.count(F.when(truth == "allow", 1)), F.count(F.when(truth == "block", 1))
     paths = rows.groupBy(F.col(host).alias("host"), F.col(key).alias("key"), F.col(parts).alias("parts")).agg(
         F.count(F.lit(1)).alias("n"), yes.alias("allow"), no.alias("block")
     )
-    tree = templates(paths)
+    tree = settle(templates(paths))
     total = tree.agg(F.sum("allow").alias("a"), F.sum("block").alias("b")).first()
     overall = ((total["b"] or 0) + 1.0) / ((total["a"] or 0) + (total["b"] or 0) + 2.0)
     hosts = tree.groupBy("host").agg(
