@@ -1,10 +1,9 @@
-"""Repeated passages of words by compaction of a de Bruijn graph of the corpus.
+"""Repeated passages of words, by cells of windows in place of compaction of a de Bruijn graph of the corpus.
 
-Each window of 50 words is an edge between its first and its last 49 words. Consecutive windows that share the minimiser of their grams form
-one path (a super-k-mer). A path whose core continues alike wherever it occurs does not branch and is one compacted edge; where
-several continuations exist the path is cut at the branch and its parts are joined anew, down to single edges (see ``windows``).
-Every repeated path keeps the coordinates of its source, the document of smallest id that holds it, and is verified by the digest of the words at
-both coordinates. Adjacent repeated paths of a document are glued into maximal spans.
+Consecutive windows of 50 words that share the minimiser of their grams form one run. Runs are cut into cells; a cell whose core
+continues alike wherever it occurs is settled at once, where several continuations exist it is cut finer, down to single windows (see
+``windows``). No edge table or degrees are built. Every repeated run keeps the coordinates of its source, in the document of smallest id that
+holds it; they are carried, not verified again. Only ``repeated_passages`` glues adjacent runs into maximal spans; the query does not need it.
 """
 
 from __future__ import annotations

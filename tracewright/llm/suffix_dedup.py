@@ -1,10 +1,9 @@
-"""Exact substring de-duplication over bytes: prefix doubling at sampled positions of one suffix order of all texts.
+"""Exact substring de-duplication over bytes: cells of windows around sampled positions, in place of prefix doubling.
 
-A classic suffix array ranks every byte position by strings of doubling length. Here the ranks are taken at a sample of positions
-that equal strings share (see ``windows``), so each round ranks far fewer of them: strings of 64 bytes, then the pair of that and what
-stands at growing offsets around it (337, then 393 bytes), up to the threshold of 400. A position whose rank is unique leaves the
-rounds; one whose whole neighbourhood repeats is settled for all windows around it. A rank is the 128-bit digest of the string, so that
-equal strings meet in one group of a Spark shuffle and no dense numbering is needed.
+A classic suffix array ranks every byte position by strings of doubling length; nothing is ranked here. Positions are sampled so that equal
+strings share them (see ``windows``). Windows around a position are cut into cells of 64, 8 and 1 bytes, and each round takes the digests of
+the strings of its cells from the text anew. A position whose string is unique leaves the rounds; one whose whole neighbourhood repeats is
+settled for all windows around it. Equal strings meet by their 128-bit digest in one group of a Spark shuffle.
 """
 
 from __future__ import annotations
