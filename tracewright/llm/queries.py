@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import (
-    bpe, common, debruijn, embedding_dedup, mixing, nearest, quality, sharding, simhash, suffix_dedup, url_filter, windows,
+    bpe, common, debruijn, embedding_dedup, mixing, nearest, quality, resampling, sharding, simhash, suffix_dedup, toxicity,
+    url_filter, variants, windows,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +115,42 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    held_out = F.coalesce(part == 0, F.lit(False))
+    known = common.settle(toxicity.votes(common.table(spark, sf_dir, "labels").where(~held_out)))
+    net = toxicity.fit(docs, known)
+    scored = common.settle(toxicity.scored(docs, net).drop("text"))
+    thresholds = common.settle(toxicity.calibrate(scored.join(known, F.col("doc_id") == F.col("_id"))))
+    return toxicity.flagged(scored, thresholds).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "lang", "threshold", "flagged"
+    )
+
+
+def drop_letter(doc_id: int | None, counts: Counter) -> Iterator[tuple[str, int]]:
+    """The contract's changed words: where 199 divides the CRC-32 of ``<doc_id>:<word>``, one letter goes."""
+    start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+    for word, n in counts.items():
+        h = zlib.crc32(word.encode(), start)
+        if h % 199 == 0:
+            at = h % len(word)
+            word = word[:at] + word[at + 1 :]
+        yield word, n
+
+
+@query
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants.variants(docs, edit=drop_letter).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    gain = resampling.gains(docs, common.table(spark, sf_dir, "benchmark"))
+    rows = resampling.drawn(resampling.weighed(docs, gain).drop("text"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
