@@ -78,6 +78,7 @@ def blocks_of(words: DataFrame) -> DataFrame:
     )
     sizes = cells.groupBy("length", "c0", "c1").agg(F.expr(f"(count(1) + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
     dealt = cells.join(sizes, ["length", "c0", "c1"]).withColumn("block", F.pmod(F.xxhash64("word"), "blocks"))
+    dealt = dealt.repartition("length", "c0", "c1", "block")  # else the words of a large cell would stay in one task
     return dealt.groupBy("length", "c0", "c1", "blocks", "block").agg(F.sort_array(F.collect_list("word")).alias("words"))
 
 
