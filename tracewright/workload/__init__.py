@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["framing", "correlation", "state", "views", "streams"]
+MODULES = ["framing", "correlation", "state", "views", "streams", "recovery"]
 
 
 def load():
