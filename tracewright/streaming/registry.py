@@ -126,7 +126,7 @@ class ProjectionStream(StatefulProcessor):
             self.handle.deleteTimer(t)
         due = snap.expiries(done)
         if due:
-            self.handle.registerTimer(max(due[0], watermark + 1))
+            self.handle.registerTimer(due[0])
         elif snap.top_ms is not None and snap.top_ms >= watermark and self.seen.exists():
             self.handle.registerTimer(snap.top_ms + 1)
 
@@ -155,6 +155,7 @@ class ProjectionStream(StatefulProcessor):
                 continue
             snap.apply(row, ms, ident)
             out.append(snap.change(key, "applied", ms, ident))
+        done = self._due(snap, done, watermark, key, out)
         self._store(snap, done, watermark)
         yield pd.DataFrame(out, columns=self.names)
 
