@@ -8,6 +8,8 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tracewright.plans.settle import settle
+from tracewright.sources import store
+from tracewright.sources.event_table import EventTable
 from tracewright.streaming import registry
 from tracewright.streaming.subscribers import FanOut, Subscriber
 from tracewright.workload.base import EV, events, query
@@ -132,3 +134,61 @@ def subscribers(spark, sf):
         counted = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("event_id").alias("ids")).withColumn("name", F.lit(name))
         found = counted if found is None else found.unionByName(counted)
     return found
+
+
+def _offered(spark, sf):
+    """Events as the event table takes them: identified by their id and type, ingested when they happened."""
+    e = events(spark, sf)
+    rows = e.select(
+        F.col("event_id").cast("string").alias("event_id"), F.col("env").alias("environment_key"), F.col("ms").alias("ingested_ms"), "event_type", "user_id",
+        F.when(F.col("event_type") == "signup", "personal").when(F.col("event_type") == "purchase", "secret").otherwise("local").alias("sensitivity"),
+    )
+    return store.identity_hash(rows, ["event_id", "event_type"])
+
+
+@query("append_stored", f"""WITH {EV}, b(batch, lo, hi) AS (VALUES (0, 0, {_HALF}), (1, {_SEAM}, {_HALF + 5 * _DAY}), (2, {_HALF + 4 * _DAY}, 9000000000000)),
+n AS (SELECT b.batch, count(*) AS attempted, count(*) FILTER (WHERE ms >= coalesce((SELECT max(hi) FROM b o WHERE o.batch < b.batch), 0)) AS inserted FROM b JOIN e ON ms >= lo AND ms < hi GROUP BY 1)
+SELECT CAST(batch AS INTEGER) AS batch, attempted, inserted, attempted - inserted AS duplicates, (SELECT count(*) FROM e) AS stored FROM n""")
+def append_stored(spark, sf):
+    """Three batches, each with a part of the one before, appended to a stored table; each is run twice."""
+    t, e = EventTable(spark, f"{_folder(spark)}/table"), _offered(spark, sf)
+    ms, reports = F.col("ingested_ms"), []
+    for i, (lo, hi) in enumerate(((0, _HALF), (_SEAM, _HALF + 5 * _DAY), (_HALF + 4 * _DAY, 9_000_000_000_000))):
+        part = e.where((ms >= lo) & (ms < hi))
+        t.append(part, i)
+        reports.append((i, *t.append(part.limit(0), i).values()))
+    out = spark.createDataFrame(reports, "batch int, attempted bigint, inserted bigint, duplicates bigint")
+    return out.withColumn("stored", F.lit(t.read().count()))
+
+
+@query("stored_conflicts", f"""WITH {EV} SELECT CAST(event_id AS VARCHAR) AS event_id FROM e WHERE ms >= {_SEAM} AND ms < {_HALF} AND k % 3 = 0 AND event_type <> 'click'""")
+def stored_conflicts(spark, sf):
+    """Events of a second batch whose id is stored with other content; the rest of the batch is new or equal."""
+    t, e = EventTable(spark, f"{_folder(spark)}/table"), _offered(spark, sf)
+    t.append(e.where(F.col("ingested_ms") < _HALF), 0)
+    third = events(spark, sf).where("k % 3 = 0").select(F.col("event_id").cast("string").alias("event_id"), F.lit(True).alias("third"))
+    later = e.where(F.col("ingested_ms") >= _SEAM).join(third, "event_id", "left")
+    changed = later.withColumn("event_type", F.when(F.col("third"), "click").otherwise(F.col("event_type"))).drop("third", "identity_hash")
+    return t.conflicts(store.identity_hash(changed, ["event_id", "event_type"]))
+
+
+_CUT = _HALF + _DAY // 3
+_GONE = f"(env = 'env1' AND ms < {_CUT}) OR (env = 'env2' AND event_type IN ('signup', 'purchase')) OR env = 'env0' AND ms < {_CUT - 3 * _DAY}"
+
+
+@query("retention_table", f"""WITH {EV}
+SELECT env AS environment_key, count(*) AS rows, min(ms) AS oldest, CAST(sum(event_id) AS BIGINT) AS ids, (SELECT count(*) FROM e WHERE {_GONE}) AS deleted, (SELECT count(*) FROM e WHERE ({_GONE}) AND event_id % 2 = 0) AS free
+FROM e WHERE NOT ({_GONE}) GROUP BY 1""")
+def retention_table(spark, sf):
+    """The stored table after retention of two environments and deletion of the sensitive events of a third; deleted ids are free again."""
+    t, e = EventTable(spark, f"{_folder(spark)}/table"), _offered(spark, sf)
+    t.append(e.where(F.col("ingested_ms") < _HALF), 0)
+    t.append(e.where(F.col("ingested_ms") >= _HALF), 1)
+    told = []
+    for cutoff, env in ((_CUT, "env1"), (_CUT - 3 * _DAY, "env0")):
+        t.retain(cutoff, env, after=lambda outcome: told.append(outcome["deleted"]))
+    told.append(t.delete("env2", sensitive_only=True))
+    left = settle(t.read().select("environment_key", "ingested_ms", F.col("event_id").cast("bigint").alias("event_id")))
+    free = t.append(e.where("event_id % 2 = 0"), 2)["inserted"]
+    kept = left.groupBy("environment_key").agg(F.count(F.lit(1)).alias("rows"), F.min("ingested_ms").alias("oldest"), F.sum("event_id").alias("ids"))
+    return kept.withColumns({"deleted": F.lit(sum(told)).cast("bigint"), "free": F.lit(free).cast("bigint")})
