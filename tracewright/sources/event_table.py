@@ -197,8 +197,9 @@ class EventTable:
         once = offered.groupBy("event_id").agg(F.min(F.struct("ingested_ms", "environment_key")).alias("_first"), *[F.min_by(c, F.struct("ingested_ms", "environment_key")).alias(c) for c in rest])
         new = settle(once.drop("_first").join(known, "event_id", "left_anti"))
         keyed = self._keyed(new.select("event_id", "identity_hash", *PARTS))
-        self._write(new.repartition(*PARTS[:2], F.pmod(F.xxhash64("event_id"), F.lit(8))), "events")
-        ids = keyed.repartition(*PARTS[:2], "bucket").sortWithinPartitions(*PARTS[:2], "bucket", "event_id")
+        # one file per partition, more where a partition is large
+        self._write(new.hint("rebalance", *PARTS[:2]), "events")
+        ids = keyed.hint("rebalance", *PARTS[:2]).sortWithinPartitions(*PARTS[:2], "bucket", "event_id")
         self._write(ids.select("event_id", "identity_hash", "bucket", *PARTS), "ids")
         blooms = ids.select("environment_key", "ingested_date", "bucket", "h1", "h2").mapInArrow(
             _filters, "environment_key string, ingested_date string, bucket long, n long, bits binary"

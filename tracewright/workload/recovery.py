@@ -7,12 +7,15 @@ from contextlib import suppress
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from tracewright.operators import health
+from tracewright.operators.golden import golden_diff
 from tracewright.plans.settle import settle
 from tracewright.sources import store
 from tracewright.sources.event_table import EventTable
-from tracewright.streaming import registry
+from tracewright.streaming import processors, registry, timed
 from tracewright.streaming.subscribers import FanOut, Subscriber
-from tracewright.workload.base import EV, events, query
+from tracewright.workload.base import EV, events, query, text
+from tracewright.workload.framing import _FOLD
 from tracewright.workload.streams import _events, _folder
 
 _DAY = 86_400_000
@@ -151,7 +154,7 @@ n AS (SELECT b.batch, count(*) AS attempted, count(*) FILTER (WHERE ms >= coales
 SELECT CAST(batch AS INTEGER) AS batch, attempted, inserted, attempted - inserted AS duplicates, (SELECT count(*) FROM e) AS stored FROM n""")
 def append_stored(spark, sf):
     """Three batches, each with a part of the one before, appended to a stored table; each is run twice."""
-    t, e = EventTable(spark, f"{_folder(spark)}/table"), _offered(spark, sf)
+    t, e = EventTable(spark, f"{_folder(spark)}/table", 16), _offered(spark, sf)
     ms, reports = F.col("ingested_ms"), []
     for i, (lo, hi) in enumerate(((0, _HALF), (_SEAM, _HALF + 5 * _DAY), (_HALF + 4 * _DAY, 9_000_000_000_000))):
         part = e.where((ms >= lo) & (ms < hi))
@@ -164,7 +167,7 @@ def append_stored(spark, sf):
 @query("stored_conflicts", f"""WITH {EV} SELECT CAST(event_id AS VARCHAR) AS event_id FROM e WHERE ms >= {_SEAM} AND ms < {_HALF} AND k % 3 = 0 AND event_type <> 'click'""")
 def stored_conflicts(spark, sf):
     """Events of a second batch whose id is stored with other content; the rest of the batch is new or equal."""
-    t, e = EventTable(spark, f"{_folder(spark)}/table"), _offered(spark, sf)
+    t, e = EventTable(spark, f"{_folder(spark)}/table", 16), _offered(spark, sf)
     t.append(e.where(F.col("ingested_ms") < _HALF), 0)
     third = events(spark, sf).where("k % 3 = 0").select(F.col("event_id").cast("string").alias("event_id"), F.lit(True).alias("third"))
     later = e.where(F.col("ingested_ms") >= _SEAM).join(third, "event_id", "left")
@@ -181,7 +184,7 @@ SELECT env AS environment_key, count(*) AS rows, min(ms) AS oldest, CAST(sum(eve
 FROM e WHERE NOT ({_GONE}) GROUP BY 1""")
 def retention_table(spark, sf):
     """The stored table after retention of two environments and deletion of the sensitive events of a third; deleted ids are free again."""
-    t, e = EventTable(spark, f"{_folder(spark)}/table"), _offered(spark, sf)
+    t, e = EventTable(spark, f"{_folder(spark)}/table", 16), _offered(spark, sf)
     t.append(e.where(F.col("ingested_ms") < _HALF), 0)
     t.append(e.where(F.col("ingested_ms") >= _HALF), 1)
     told = []
@@ -192,3 +195,89 @@ def retention_table(spark, sf):
     free = t.append(e.where("event_id % 2 = 0"), 2)["inserted"]
     kept = left.groupBy("environment_key").agg(F.count(F.lit(1)).alias("rows"), F.min("ingested_ms").alias("oldest"), F.sum("event_id").alias("ids"))
     return kept.withColumns({"deleted": F.lit(sum(told)).cast("bigint"), "free": F.lit(free).cast("bigint")})
+
+
+_HOURS_6, _HOURS_12 = 21_600_000, 43_200_000
+
+
+@query("stream_dedupe_timed", f"{_FOLD} SELECT event_id, ms, user_id, event_type, true AS bounded FROM f WHERE keep")
+def stream_dedupe_timed(spark, sf):
+    """De-duplication by event time, and whether the state that is left is only that of keys seen lately."""
+    base = _folder(spark)
+    e = _events(spark, sf).select("event_id", "ms", "user_id", "event_type")
+    out = registry.drain(timed.dedupe_timed(e, ["user_id", "event_type"], "ms", "event_id", _HOURS_6, _DAY), f"{base}/out", f"{base}/checkpoint")
+    state = spark.read.format("statestore").option("path", f"{base}/checkpoint").option("stateVarName", "kept").load()
+    newest = events(spark, sf).agg(F.max("ms").alias("ms")).first()["ms"]
+    old = state.where(F.col("value.ms") + _HOURS_6 + _DAY < newest - 1).count()
+    return out.withColumn("bounded", F.lit(old == 0))
+
+
+@query("stream_interval_match", f"""WITH {EV}, m AS (SELECT *, lag(event_type) OVER w AS pt, lag(ms) OVER w AS pm, lag(event_id) OVER w AS pe FROM e WHERE event_type IN ('click', 'purchase')
+WINDOW w AS (PARTITION BY user_id, k % 3 ORDER BY ms, CAST(event_id AS VARCHAR)))
+SELECT user_id, CAST(event_id AS VARCHAR) AS close_ref, CAST(pe AS VARCHAR) AS open_ref, ms - pm AS elapsed_ms FROM m WHERE event_type = 'purchase' AND pt = 'click' AND ms - pm <= {_HOURS_12}
+AND ms <= (SELECT max(ms) FROM e WHERE event_type IN ('click', 'purchase')) - {_DAY}""")
+def stream_interval_match(spark, sf):
+    """Purchases with the latest click that no other purchase has consumed, as far as the watermark has come."""
+    t = F.col("event_type")
+    e = _events(spark, sf).withColumn("vehicle", F.col("k") % 3)
+    found = timed.release_match(e, ["user_id", "vehicle"], "ms", "event_id", t == "click", t == "purchase", _HOURS_12, _DAY)
+    base = _folder(spark)
+    return registry.drain(found, f"{base}/out", f"{base}/checkpoint").select("user_id", "close_ref", "open_ref", "elapsed_ms")
+
+
+_HEALTH = "CASE WHEN records >= 25 AND unknown >= 15 AND unknown / records >= 0.75 THEN 'suspected_drift' ELSE 'compatible' END"
+
+
+@query("health_events", f"""WITH {EV}, g AS (SELECT 'u' || user_id AS environment_key, count(*) AS records, count(*) FILTER (WHERE k % 5 > 0) AS unknown, max(ms) AS last_ms, bool_or(event_type = 'error' AND k = 50) AS drifted, max(user_id % 4) = 1 AS odd FROM e GROUP BY 1),
+h AS (SELECT *, CASE WHEN odd THEN 'unverified_build' WHEN drifted THEN 'suspected_drift' ELSE {_HEALTH} END AS status, CASE WHEN odd THEN 'build_not_tested' WHEN drifted THEN 'event_family_field_shape_changed' WHEN {_HEALTH} = 'suspected_drift' THEN 'high_unknown_ratio' ELSE 'profile_compatible' END AS reason FROM g)
+SELECT environment_key, v.event_type, CASE WHEN v.event_type LIKE '%Status%' THEN status END AS status, reason, CAST(records AS VARCHAR) AS seen, CAST(records - unknown AS VARCHAR) AS emitted, CAST(unknown AS VARCHAR) AS unknown, CASE WHEN v.event_type LIKE '%Drift%' THEN round(unknown / records, 6) END AS ratio,
+CASE WHEN status = 'compatible' THEN 'high' ELSE 'medium' END AS confidence, last_ms AS ts_ms, true AS valid FROM h, (VALUES ('ParserCompatibilityStatusObserved'), ('ParserDriftSuspected')) v(event_type) WHERE v.event_type LIKE '%Status%' OR status = 'suspected_drift'""")
+def health_events(spark, sf):
+    """Verdicts of environments as events: an untested build, families whose fields changed, too many unknown records."""
+    e = events(spark, sf).withColumn("environment_key", text("u", F.col("user_id")))
+    counted = e.groupBy("environment_key").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("k") % 5 > 0).alias("unknown"), F.max("ms").alias("checked_ms"),
+        F.max((F.col("event_type") == "error") & (F.col("k") == 50)).alias("drifted"), (F.max(F.col("user_id") % 4) == 1).alias("odd"),
+    )
+    zero = F.lit(0).cast("bigint")
+    given = counted.withColumns({"emitted": F.col("records") - F.col("unknown"), "profile_id": F.lit("p"), "profile_version": F.lit("1"), "samples": zero, "dropped": zero})
+    judged = health.with_verdict(given, F.when(F.col("odd"), "unverified_build").otherwise("compatible"), None, F.col("drifted"))
+    valid, rejected = health.health_events(judged)
+    p = F.col("payload")
+    return valid.join(rejected.select("environment_key", F.lit(False).alias("valid")), "environment_key", "left").select(
+        "environment_key", "event_type", p["status"].alias("status"), p["reason"].alias("reason"), p["recordsSeen"].alias("seen"), p["knownEventsEmitted"].alias("emitted"),
+        p["unknownRecords"].alias("unknown"), p["unknownRatio"].cast("double").alias("ratio"), "confidence", "ts_ms", F.coalesce("valid", F.lit(True)).alias("valid"),
+    )
+
+
+@query("health_windows", f"""WITH {EV}, g AS (SELECT env AS environment_key, (ms // {_DAY} + 1) * {_DAY} AS ts_ms, count(*) AS records, count(*) FILTER (WHERE k % 5 > 0) AS unknown FROM e GROUP BY 1, 2),
+h AS (SELECT *, {_HEALTH} AS status FROM g WHERE ts_ms <= (SELECT max(ms) - {_DAY // 2} FROM e))
+SELECT environment_key, ts_ms, v.event_type, records, unknown, CASE WHEN status = 'suspected_drift' THEN 'high_unknown_ratio' ELSE 'profile_compatible' END AS reason FROM h, (VALUES ('ParserCompatibilityStatusObserved'), ('ParserDriftSuspected')) v(event_type)
+WHERE v.event_type LIKE '%Status%' OR status = 'suspected_drift'""")
+def health_windows(spark, sf):
+    """Health per day and environment from a stream: a window that closes puts its events into the event table, once."""
+    base = _folder(spark)
+    records = _events(spark, sf).select(F.timestamp_millis("ms").alias("at"), text("env", F.col("user_id") % 3).alias("environment_key"), (F.col("k") % 5 > 0).alias("unmatched"))
+    windows = processors.health_windows(records, "at", "1 day", ["environment_key"], "12 hours")
+    table = EventTable(spark, f"{base}/table", 16)
+
+    def keep(closed, batch_id):
+        valid, _ = health.health_events(health.window_health(closed))
+        found = valid.withColumns({"identity_hash": F.sha2("event_id", 256), "ingested_ms": F.col("ts_ms")})
+        table.append(found.select("event_id", "environment_key", "ingested_ms", "event_type", "ts_ms", "payload", "identity_hash"), batch_id)
+
+    writer = windows.writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(keep).start().awaitTermination()
+    p = F.col("payload")
+    numbers = {"records": p["recordsSeen"].cast("bigint"), "unknown": p["unknownRecords"].cast("bigint"), "reason": p["reason"]}
+    return table.read().select("environment_key", "ts_ms", "event_type", *[v.alias(k) for k, v in numbers.items()])
+
+
+@query("golden_diff", f"""WITH {EV}, a AS (SELECT user_id, event_type FROM e WHERE k <> 7), x AS (SELECT user_id, CASE WHEN k = 9 THEN 'other' ELSE event_type END AS event_type FROM e),
+n AS (SELECT user_id, event_type, sum(w) AS n FROM (SELECT *, 1 AS w FROM a UNION ALL SELECT *, -1 FROM x) GROUP BY 1, 2)
+SELECT user_id, event_type, CASE WHEN n < 0 THEN 'missing' ELSE 'unexpected' END AS side, CAST(abs(n) AS BIGINT) AS copies FROM n WHERE n <> 0""")
+def golden(spark, sf):
+    """Events of users and types that come more or less often than expected."""
+    e = events(spark, sf)
+    expected = e.select("user_id", F.when(F.col("k") == 9, "other").otherwise(F.col("event_type")).alias("event_type"))
+    return golden_diff(e.where("k <> 7").select("user_id", "event_type"), expected)
