@@ -269,3 +269,11 @@ def test_kept_bytes_stay_characters(spark):
     out = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(docs).collect()}
     assert "�" not in "".join(out.values())
     assert hashlib.sha256(out[1].encode()).hexdigest() and out[1].endswith("cd")
+
+
+def test_remove_later_keeps_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, 0, True, "a", 1), (2, text, 0, True, "b", 2), (3, "short " + text, 0, False, "c", 3), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_units long, later boolean, `_ord` string, `_kept` long")
+    out = {r["doc_id"]: tuple(r) for r in debruijn.remove_later(docs).collect()}
+    assert out == {1: rows[0], 2: (2, "", *rows[1][2:]), 3: (3, "short", *rows[2][2:]), None: rows[3]}

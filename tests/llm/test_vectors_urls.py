@@ -42,6 +42,20 @@ def test_embedding_dedup(spark):
     assert got == want and any(n for n, _ in want.values())
 
 
+def test_extreme_vectors(spark):
+    """Vectors whose squares leave the range of doubles are neither zero nor infinite."""
+    rows = [(0, [1e200, 1.0], 1), (1, [1e200, 1.0], 1), (50, [1e-200, 0.0], 1), (51, [1e-200, 0.0], 1), (52, [5e-324, 0.0], 1), (53, [0.0, 1.7e308], 1), (54, [0.0, 2.0], 1),
+            (55, [0.0, 0.0], 1), (56, [float("inf"), 1.0], 1), (57, [], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(frame).collect()}
+    x = {i: (4, 0) for i in (0, 1, 50, 51, 52)}
+    assert got == x | {53: (1, 53), 54: (1, 53), 55: (0, 55), 56: (0, 56), 57: (0, 57)}
+    frame = frame.where("vec_id <> 57")
+    near = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in nearest.nearest(frame, F.col("id") % 50 == 0).collect()}
+    assert [near[0, k][0] for k in (1, 2, 3, 4)] == [1, 50, 51, 52] and all(abs(near[0, k][1] - 1) < 1e-15 for k in (1, 2, 3, 4))
+    assert near[50, 5][0] == 53 and (0, 7) not in near
+
+
 def test_nearest_recall(spark):
     _, frame = vectors(spark)
     rows = [(r["vec_id"], r["embedding"]) for r in frame.collect() if usable(r["embedding"])]
@@ -94,6 +108,18 @@ def test_mix(spark, sf):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_names_and_full_sources(spark):
+    """Columns of any name stay, and a source at its cap takes nothing more, empty documents included."""
+    rows = [(i, "abc"[i % 3], 0 if i % 7 == 0 else 10 + i % 5, i, "x", i, i, i, i) for i in range(90)] + [(90 + i, "d", 0 if i < 3 else 2, 1, "y", 1, 1, 1, 1) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long, h long, sid string, base long, target long, copies long, _ordinal long")
+    out = mixing.mix(docs, most=1.2)
+    assert out.columns == [*docs.columns, "source_size", "target_", "copies_"] and out.select(*docs.columns).exceptAll(docs).count() == 0
+    assert max(r["copies_"] for r in mixing.mix(docs).collect()) <= 2
+    small = spark.createDataFrame([("a", 5), ("a", 0), ("a", 0), ("b", 1000)], "source string, size long")
+    got = mixing.mix(small.withColumn("n", F.monotonically_increasing_id()))
+    assert {(r["source"], r["copies"]) for r in got.where("source = 'a'").collect()} == {("a", 2)}
+
+
 def test_url_rules(spark):
     urls = [
         (1, "https://A.example.ORG/es/x?y"), (2, "http://example.org/en/1#z"), (3, "http://x.org"), (4, "ftp://sub.foo.com/fr/1"),

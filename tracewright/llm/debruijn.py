@@ -53,17 +53,21 @@ def first_occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def attach_first(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
-    """Results per distinct text for every document, with ``later``: whether a smaller id has the whole text."""
-    later = fresh(docs, "later")
-    joined = attach(docs, found.withColumnRenamed("ord", "_ord"), text)
-    return joined.withColumn(later, (rank_of(col(doc_id)) > F.col("_ord")) & (F.col("n_units") >= length)).drop("_ord")
+    """Results per distinct text for every document, with ``later``: whether a smaller id has the whole text.
+
+    New names get underscores where they are taken.
+    """
+    later, ord_, units = (fresh(docs, c) for c in ("later", "_ord", "n_units"))
+    joined = attach(docs, found.withColumnRenamed("ord", ord_), text)
+    return joined.withColumn(later, (rank_of(col(doc_id)) > F.col(ord_)) & (F.col(units) >= length)).drop(ord_)
 
 
 def remove_later(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
-    """``docs`` with repeated words cut out of ``text``; all other columns unchanged."""
+    """``docs`` with repeated words cut out of ``text``; all other columns unchanged, whatever their names."""
     found = first_occurrences(docs, doc_id, text, length)
-    new = fresh(docs, "_kept")
-    found = found.select("key", "ord", "n_units", F.col("kept").cast("string").alias(new))
-    joined = attach_first(docs.select(*docs.columns), found, doc_id, text, length)
-    cut = F.when(col(text).isNull(), F.lit(None).cast("string")).when(F.col("later"), "").otherwise(F.col(new))
-    return joined.select(*[cut.alias(c) if c == text else col(c) for c in docs.columns])
+    found = found.select("key", "ord", "n_units", F.col("kept").cast("string").alias("_kept"))
+    whole = F.struct(*[col(c) for c in docs.columns]).alias("_doc")
+    packed = docs.select(whole, col(doc_id).alias("_id"), col(text).alias("_text"))
+    joined = attach_first(packed, found, "_id", "_text", length)
+    cut = F.when(F.col("_text").isNull(), F.lit(None).cast("string")).when(F.col("later"), "").otherwise(F.col("_kept"))
+    return joined.select(*[(cut if c == text else F.col("_doc")[c]).alias(c) for c in docs.columns])

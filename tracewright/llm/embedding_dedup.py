@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import col, settle
 from tracewright.llm.components import components
-from tracewright.llm.vectors import as_doubles, block_rows, is_valid, matrix, unit
+from tracewright.llm.vectors import as_doubles, block_rows, in_range, is_valid, matrix, unit
 
 #: rows of the bounded sample that the rotation is fitted on; results do not depend on it
 FIT_ROWS = 5000
@@ -208,7 +208,7 @@ def near_duplicates(
     rows = settle(base.distinct())
     classes = settle(
         rows.where("key is not null").groupBy("key").agg(
-            F.first("label").alias("label"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("size"), F.min("id").alias("id")
+            F.first("label").alias("label"), F.first(in_range(F.col("vec"))).alias("vec"), F.count(F.lit(1)).alias("size"), F.min("id").alias("id")
         ).withColumn("dim", F.size("vec"))
     )
     sample = [r[0] for r in classes.orderBy("key").limit(FIT_ROWS).select("vec").collect()]

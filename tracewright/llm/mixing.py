@@ -57,9 +57,11 @@ def mix(
     ``source_size``, ``target`` and ``copies`` (how often the document is taken, at most ``ceil(most)``). Only one document of a
     source is off: the one at the threshold is taken if that comes nearer to the target. The choice hangs on the rows' hashes
     alone, so reruns agree. A null source is a source of its own, after all others; null sizes count as 0; equal rows are
-    chosen one by one; an empty table gives an empty result.
+    chosen one by one; an empty table gives an empty result. New names get underscores where they are taken.
     """
-    rows = with_ordinals(docs.withColumn("size", F.coalesce("size", F.lit(0).cast("long"))), "_ordinal")
+    own = {c: c if c in ("source", "size") else f"_user{i}" for i, c in enumerate(docs.columns)}
+    given = docs.select(*[col(c).alias(new) for c, new in own.items()])
+    rows = with_ordinals(given.withColumn("size", F.coalesce("size", F.lit(0).cast("long"))), "_ordinal")
     hashed = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).bitwiseAND(F.lit(2**63 - 1))
     rows = settle(rows.withColumn("h", hashed))
     src = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
@@ -70,11 +72,11 @@ def mix(
     rows = settle(rows.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
 
     # state of a source: the bucket (a prefix of the hash) that holds its threshold, and the size of all buckets before it
-    state = src.select("sid", "rest", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("before"))
+    # (where nothing is left to take, a threshold would only add documents of size 0)
+    state = src.where("rest > 0").select("sid", "rest", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("before"))
     done: list[DataFrame] = []
     for depth in range(1, LEVELS + 1):
-        inside = rows.select("sid", "h", "size").withColumn("bucket", _prefix(depth - 1)) if depth > 1 else (
-            rows.select("sid", "h", "size", F.lit(0).cast("long").alias("bucket")))
+        inside = rows.select("sid", "h", "size", (_prefix(depth - 1) if depth > 1 else F.lit(0).cast("long")).alias("bucket"))
         if depth > 1:
             inside = inside.join(state.select("sid", "bucket"), ["sid", "bucket"], "left_semi")
         counts = inside.groupBy("sid", _prefix(depth).alias("next")).agg(
@@ -105,7 +107,8 @@ def mix(
     taken = rows.join(bounds, "sid", "left").withColumn(
         "copies", F.col("base") + F.when(F.col("bound").isNotNull() & below, 1).otherwise(0)
     )
-    return taken.drop("_ordinal", "h", "sid", "base", "bound")
+    new = [F.col(c).alias(fresh(docs, c)) for c in ("source_size", "target", "copies")]
+    return taken.select(*[F.col(now).alias(c) for c, now in own.items()], *new)
 
 
 def mixed_documents(docs: DataFrame, size: Column, source: str = "source", **options) -> DataFrame:
