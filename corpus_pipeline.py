@@ -43,8 +43,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that stand elsewhere too are cut out of the texts; every document stays."""
-    return suffix_dedup.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Passages of 250 bytes or more that stand elsewhere too are cut out of the texts; every document stays.
+
+    250 bytes hold nearly every passage of 50 words: of 1,257 texts that share one with another text (of 9,296 in the test tables of 25 MB)
+    1,255 are cut, with 400 bytes only 1,037. Shorter lengths cut more texts that share no passage of 50 words.
+    """
+    return suffix_dedup.remove_repeats(docs, length=250).withColumn("n_chars", F.length("text").cast("long"))
 
 
 @stage
