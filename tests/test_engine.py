@@ -130,3 +130,19 @@ def test_instants(spark):
         spark.createDataFrame([(f"<{r}> a",) for r in rows], "text string"), "text", "ms", "code"
     ).select("code").collect()
     assert [r.code for r in codes] == [None, None, "timestamp_malformed", "timestamp_ambiguous", "timestamp_missing"]
+
+
+def test_health_and_diagnostics_of_a_parse(spark):
+    from tracewright.operators import health
+
+    bad = '<2026-08-25T00:00:01.000Z> [Notice] <SHUDEvent_OnNotification> Entered Monitored Space without id\n'
+    note = '<2026-08-25T00:00:00.500Z> [Notice] <SHUDEvent_OnNotification> Added notification "Entered Monitored Space: " [7] to queue.\n'
+    p = parse(spark, {"a": HEAD + note + bad, "b": "<2026-08-25T00:00:03.000Z> nothing here\n"}, {"channel": "LIVE"})
+    rows = {r.environment_key: r for r in health.health_of(p).collect()}
+    told = [r for r in rows.values() if r.drifted_families]
+    assert len(told) == 1 and told[0].status == "suspected_drift" and told[0].reason == "event_family_field_shape_changed"
+    assert all(r.unknown <= r.records for r in rows.values())
+    codes = {r.code for r in health.diagnostics_of(p).collect()}
+    assert "missing_required_fields" in codes and "source_generation_changed" not in codes
+    valid, rejected = health.health_events(health.health_of(p))
+    assert rejected.count() == 0 and {r.event_type for r in valid.collect()} == {health.STATUS, health.DRIFT}

@@ -63,6 +63,8 @@ class Parsed:
     events: DataFrame
     rejected: DataFrame
     unknown: DataFrame
+    conflicts: DataFrame
+    drifted: DataFrame
 
 
 def with_environment(
@@ -616,7 +618,8 @@ def parse_records(
     env = with_environment(chunked, lane, spark, defaults)
     # the observation table feeds four candidate branches and the unmatched evidence: computed once, then read
     seen = settle(_observe(env, lane).drop(CHUNK))
-    candidates = fenced(emit_candidates(seen, TARGET_ROWS if lane.split else None))
+    # so are the candidates: events, drift and unmatched evidence all read them
+    candidates = settle(emit_candidates(seen, TARGET_ROWS if lane.split else None))
     complete, incomplete = contracts.require_fields(candidates)
     failed = candidates.withColumn(
         "failed", F.size(contracts.missing_fields(F.col("payload"), F.col("required"))) > 0
@@ -639,7 +642,8 @@ def parse_records(
             ),
         ),
     )
-    resolved, _ = contracts.resolve_conflicts(fenced(keyed_rows), [*LANE, "byte_offset", "event_type"])
+    drifted = failed.where(F.col("drift") & F.col("failed")).select("environment_key", "family").distinct()
+    resolved, conflicts = contracts.resolve_conflicts(fenced(keyed_rows), [*LANE, "byte_offset", "event_type"])
     valid, rejected = contracts.validate_events(resolved)
     events = contracts.envelope(valid)
     # records that produced no candidate, and matched records that were incomplete or suppressed
@@ -656,7 +660,7 @@ def parse_records(
         .unionByName(suppressed.select(*shape, F.lit("event_family_suppressed").alias("unknown_reason")))
         .unionByName(complete.where(F.col("ts_ms").isNull()).select(*shape, F.col("ts_code").alias("unknown_reason")))
     )
-    return Parsed(seen, candidates, incomplete, suppressed, events, rejected, unknown)
+    return Parsed(seen, candidates, incomplete, suppressed, events, rejected, unknown, conflicts, drifted)
 
 
 def resolve_contributors(events: DataFrame) -> DataFrame:

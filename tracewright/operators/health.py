@@ -78,3 +78,60 @@ def window_health(windows: DataFrame, key: str = "environment_key", **limits) ->
         F.lit(0).cast("bigint").alias("dropped"), end.alias("checked_ms"),
     )
     return with_verdict(counted, **limits)
+
+
+def health_of(parsed, build_reason: str = "build_not_tested") -> DataFrame:
+    """Health rows per environment of one parse: records, events emitted, unknown records, drifted families, and the verdict.
+
+    ``parsed`` is what ``emission.parse_records`` returns. An environment without a profile is ``unsupported_profile``. A record counts as unknown once,
+    however many rules it failed.
+    """
+    place = ["environment_key", "source_id", "generation", "byte_offset"]
+    zero = F.lit(0).cast("bigint")
+    seen = parsed.records.groupBy("environment_key").agg(
+        F.count(F.lit(1)).alias("records"), F.max("status").alias("_status"), F.max("profile_id").alias("profile_id"), F.max("ts_ms").alias("checked_ms"),
+    )
+    unknown = parsed.unknown.select(*place).distinct().groupBy("environment_key").agg(F.count(F.lit(1)).alias("unknown"))
+    emitted = parsed.events.groupBy("environment_key").agg(F.count(F.lit(1)).alias("emitted"))
+    drifted = parsed.drifted.groupBy("environment_key").agg(F.sort_array(F.collect_set("family")).alias("drifted_families"))
+    joined = seen.join(unknown, "environment_key", "left").join(emitted, "environment_key", "left").join(drifted, "environment_key", "left")
+    filled = joined.withColumns(
+        {"unknown": F.coalesce("unknown", zero), "emitted": F.coalesce("emitted", zero), "samples": zero, "dropped": zero,
+         "compat": F.when(F.col("profile_id").isNull(), "unsupported_profile").otherwise(F.coalesce("_status", F.lit("unsupported_profile"))),
+         "why": F.when(F.col("profile_id").isNull(), "no_compatible_profile").otherwise(build_reason),
+         "profile_id": F.coalesce("profile_id", F.lit("unsupported_profile")), "profile_version": F.lit("1")}
+    ).drop("_status")
+    return with_verdict(filled, F.col("compat"), F.col("why"), F.col("drifted_families").isNotNull()).drop("compat", "why")
+
+
+def diagnostics_of(parsed) -> DataFrame:
+    """What went wrong in one parse, as ``(source_id, generation, line_no, byte_offset, code, severity, detail)``.
+
+    Matches whose payloads contradict each other, events that break the contract, matches without a required field, generations after the first of
+    a source, and environments without a profile (at their first record). Positions that a step does not know are null.
+    """
+    lane = ["source_id", "generation"]
+    none = F.lit(None).cast("bigint")
+
+    def rows(df: DataFrame, code: str, severity: str, detail: Column, line: Column | None = None) -> DataFrame:
+        at = F.col("byte_offset") if "byte_offset" in df.columns else none
+        number = line if line is not None else F.col("line_no") if "line_no" in df.columns else none
+        return df.select(*lane, number.cast("bigint").alias("line_no"), at.alias("byte_offset"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), detail.alias("detail"))
+
+    first = F.min(F.struct("generation", "byte_offset", "line_no"))
+    starts = parsed.records.groupBy(*lane).agg(F.min(F.struct("byte_offset", "line_no")).alias("_at"))
+    oldest = parsed.records.groupBy("source_id").agg(F.min("generation").alias("_oldest"))
+    later = starts.join(oldest, "source_id").where("generation > _oldest").select(*lane, "_at.byte_offset", "_at.line_no")
+    bare = parsed.records.where("profile_id is null").groupBy("environment_key", "source_id").agg(first.alias("_f"))
+    bare = bare.select("environment_key", "source_id", "_f.generation", "_f.byte_offset", "_f.line_no")
+    parts = [
+        rows(parsed.conflicts, "match_conflict", "error", F.col("event_type")),
+        rows(parsed.rejected, "event_validation_failed", "error", F.concat(F.col("event_type"), F.lit(" "), F.array_join("errors", " "))),
+        rows(parsed.incomplete, "missing_required_fields", "warn", F.concat(F.col("event_type"), F.lit(" "), F.array_join("missing", " "))),
+        rows(later, "source_generation_changed", "warn", F.concat(F.lit("generation "), F.col("generation").cast("string"))),
+        rows(bare, "unsupported_profile", "warn", F.col("environment_key")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -9,11 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.constants import (
     BACKUP_NAME,
-    CAPTURE_WINDOW_BYTES,
-    HEAD_SAMPLE_BYTES,
     RELEASE_CHANNELS,
-    TAIL_SAMPLE_BYTES,
-    WHOLE_SAMPLE_BYTES,
 )
 from tracewright.functions.identity import channel_from_path, release_channel
 from tracewright.functions.text import group
@@ -83,22 +79,25 @@ def start_options(mode: str) -> dict[str, str]:
 
 def capture_window(
     lines: DataFrame, keys: Sequence[str], since_ms: int | Column, ms: str = "ms", offset: str = "byte_offset",
-    max_bytes: int = CAPTURE_WINDOW_BYTES, length: str = "byte_length",
+    max_bytes: int | None = None, length: str = "byte_length",
 ) -> DataFrame:
-    """Lines from the first record at or after ``since`` on, within the last ``max_bytes`` of the source.
+    """Lines from the first record at or after ``since`` on, to the end of the source.
 
-    ``truncated`` tells that the byte limit cut off lines that may belong to the window. The start per source is an
-    aggregate over two numbers.
+    With ``max_bytes`` only those within the last bytes of the source; ``truncated`` tells that this cut off lines that may belong to the
+    window. The start per source is an aggregate over two numbers.
     """
     since = since_ms if isinstance(since_ms, Column) else F.lit(since_ms)
     ends = lines.groupBy(*keys).agg(F.max(F.col(offset) + F.col(length)).alias("_end"))
-    bounded = lines.join(ends, list(keys)).where(F.col(offset) >= F.col("_end") - max_bytes)
+    bounded = lines.join(ends, list(keys))
+    if max_bytes is not None:
+        bounded = bounded.where(F.col(offset) >= F.col("_end") - max_bytes)
     older = F.max(F.when(F.col(ms) < since, F.lit(True)))
     start = bounded.groupBy(*keys).agg(
         F.min(F.when(F.col(ms) >= since, F.col(offset))).alias("_start"), F.coalesce(older, F.lit(False)).alias("_older")
     )
     kept = bounded.join(start, list(keys)).where(F.col(offset) >= F.col("_start"))
-    return kept.withColumn("truncated", ~F.col("_older") & (F.col("_end") > max_bytes)).drop("_end", "_start", "_older")
+    cut_off = F.lit(False) if max_bytes is None else ~F.col("_older") & (F.col("_end") > max_bytes)
+    return kept.withColumn("truncated", cut_off).drop("_end", "_start", "_older")
 
 
 # --- sources ----------------------------------------------------------------------------------------------------------
@@ -113,19 +112,10 @@ MARKERS = {
 }
 
 
-def profile_sources(
-    lines: DataFrame, head: int = HEAD_SAMPLE_BYTES, tail: int = TAIL_SAMPLE_BYTES, whole: int = WHOLE_SAMPLE_BYTES,
-    markers: dict[str, str] | None = None,
-) -> DataFrame:
-    """Marker flags, stated channel, build and environment name per source, from the head and tail of large sources."""
+def profile_sources(lines: DataFrame, markers: dict[str, str] | None = None) -> DataFrame:
+    """Marker flags, stated channel, build and environment name per source, from all of its lines."""
     names = markers or MARKERS
     text = F.col("text")
-    # every line arrives with the size of its source where the reader knows it
-    if "file_size" not in lines.columns:
-        sizes = lines.groupBy("source_id").agg(F.max(F.col("byte_offset") + F.col("byte_length")).alias("file_size"))
-        lines = lines.join(sizes, "source_id")
-    size = F.col("file_size")
-    sampled = lines.where((size <= whole) | (F.col("byte_offset") < head) | (F.col("byte_offset") >= size - tail))
     channels = "|".join(sorted(RELEASE_CHANNELS, key=len, reverse=True))
     tag = F.when(text.rlike("(?i)<Init>"), group(text, r"(?i)(?<!\w)Tag\[([^\]]+)\]"))
     game = F.when(text.rlike("(?i)<Game Version>"), group(text, r"(?i)(?<!\w)environment\[([^\]]+)\]"))
@@ -137,7 +127,7 @@ def profile_sources(
     def first(value: Column) -> Column:
         return F.min_by(value, F.when(value.isNotNull(), F.col("byte_offset")))
 
-    agg = sampled.groupBy("source_id").agg(
+    agg = lines.groupBy("source_id").agg(
         *[F.max(text.rlike(p)).alias(f"_m{i}") for i, p in enumerate(names.values())],
         F.coalesce(first(tag), first(game), first(suffix)).alias("_channel"),
         F.coalesce(first(version), first(file_version)).alias("build"),

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import dedupe, emission, framing, projections, rules
+from tracewright.operators import dedupe, emission, framing, health, projections
 from tracewright.plans.settle import settle, shared_folder
 from tracewright.streaming import processors
 from tracewright.workload.base import DEFAULTS, EV, query, session_lines, table
@@ -113,15 +114,10 @@ def flagship(spark, sf):
     """Log lines to life-cycle state and parser health per environment."""
     records = framing.records_of(session_lines(spark, sf))
     parsed = emission.parse_records(records, spark, DEFAULTS)
-    scope = ["environment_key", "event_type", "dedupe_id"]
+    # a new generation of a source starts over: its lines are numbered anew and its events are no repeats of the older ones
+    scope = ["environment_key", "source_id", "generation", "event_type", "dedupe_id"]
     found = settle(parsed.events)
     kept = dedupe.dedupe_bounded(found, scope, "ts_ms", "line_no", dedupe.family_window(F.col("event_type")))
     life = projections.project_lifecycle(kept).select("environment_key", "state")
-    unknown = parsed.unknown.groupBy("environment_key").agg(F.count(F.lit(1)).alias("unknown"))
-    seen = parsed.records.groupBy("environment_key").agg(F.count(F.lit(1)).alias("records"), F.max("status").alias("compat"))
-    zero = F.lit(0).cast("bigint")
-    verdict = rules.health_verdict(F.col("records"), F.coalesce("unknown", zero), F.col("compat"), F.lit("build_not_tested"), F.lit(False))
-    joined = seen.join(unknown, "environment_key", "left").join(life, "environment_key", "left")
-    return joined.select("environment_key", "state", "records", F.coalesce("unknown", zero).alias("unknown"), verdict["status"].alias("status"))
-
-
+    judged = health.health_of(replace(parsed, events=kept)).select("environment_key", "records", "unknown", "status")
+    return judged.join(life, "environment_key", "left").select("environment_key", "state", "records", "unknown", "status")

@@ -399,17 +399,14 @@ def catalogue_contract(spark, sf):
 _DOC = {"question": r"\?", "digit": r"\d", "quote": "\"", "the": r"(?i)(?<!\w)the(?!\w)"}
 
 
-@query("source_profile", f"""WITH {_SPLIT}, z AS (SELECT doc_id, max(byte_offset + byte_length) AS size FROM o GROUP BY 1), s AS (SELECT o.* FROM o JOIN z USING (doc_id) WHERE part <> '' AND (size <= 4000 OR byte_offset < 1500 OR byte_offset >= size - 500)),
+@query("source_profile", f"""WITH {_SPLIT}, s AS (SELECT * FROM o WHERE part <> ''),
 m AS (SELECT doc_id, bool_or(regexp_matches(part, '\\?')) AS a, bool_or(regexp_matches(part, '\\d')) AS b, bool_or(regexp_matches(part, '"')) AS c, bool_or(regexp_matches(part, '(?i)\\bthe\\b')) AS d FROM s GROUP BY 1)
 SELECT CAST(doc_id AS VARCHAR) AS source_id, concat_ws(',', CASE WHEN a THEN 'question' END, CASE WHEN b THEN 'digit' END, CASE WHEN c THEN 'quote' END, CASE WHEN d THEN 'the' END) AS markers FROM m""")
 def source_profile(spark, sf):
     from tracewright.operators import framing
 
     lines = framing.frame_lines(_documents(spark, sf), emit_incomplete=True)
-    sizes = framing.drop_empty(lines).join(
-        lines.groupBy("source_id").agg(F.max(F.col("byte_offset") + F.col("byte_length")).alias("file_size")), "source_id"
-    )
-    prof = logs.profile_sources(sizes, 1500, 500, 4000, _DOC)
+    prof = logs.profile_sources(framing.drop_empty(lines), _DOC)
     return prof.select("source_id", F.array_join("markers", ",").alias("markers"))
 
 
@@ -471,9 +468,9 @@ def catalogue_fingerprint(spark, sf):
     return logs.source_set_fingerprint(_files(spark, sf), ["source"])
 
 
-@query("capture_window", f"""WITH {EV}, l AS (SELECT event_id, user_id, ms, k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM e), o AS (SELECT *, (n - 1) * 100 AS off, max(n) OVER (PARTITION BY user_id) * 100 AS fin FROM l), b AS (SELECT * FROM o WHERE off >= fin - 2000),
-s AS (SELECT user_id, min(off) FILTER (WHERE k % 4 > 0 AND ms >= 1706000000000) AS start, coalesce(bool_or(k % 4 > 0 AND ms < 1706000000000), false) AS older FROM b GROUP BY 1)
-SELECT event_id, NOT older AND fin > 2000 AS truncated FROM b JOIN s USING (user_id) WHERE off >= start""")
+@query("capture_window", f"""WITH {EV}, l AS (SELECT event_id, user_id, ms, k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM e), o AS (SELECT *, (n - 1) * 100 AS off, max(n) OVER (PARTITION BY user_id) * 100 AS fin FROM l),
+s AS (SELECT user_id, min(off) FILTER (WHERE k % 4 > 0 AND ms >= 1706000000000) AS start FROM o GROUP BY 1)
+SELECT event_id, false AS truncated FROM o JOIN s USING (user_id) WHERE off >= start""")
 def capture_window(spark, sf):
     from tracewright.plans.scans import scan, split_keys, total
 
@@ -482,4 +479,4 @@ def capture_window(spark, sf):
     lines = scan(cut, lane, {"byte_offset": total(F.lit(100).cast("bigint"), False)}).withColumns(
         {"byte_length": F.lit(100).cast("bigint"), "ms": F.when(F.col("k") % 4 > 0, F.col("ms"))}
     )
-    return logs.capture_window(lines, ["user_id"], 1706000000000, max_bytes=2000).select("event_id", "truncated")
+    return logs.capture_window(lines, ["user_id"], 1706000000000).select("event_id", "truncated")
