@@ -82,3 +82,53 @@ def test_user_activity(spark):
     got = sessions.user_activity(df, "pilot7")
     assert sorted((r.environment_key, r.pos) for r in got.collect()) == sorted(want)
     assert 0 < len(want) < len(rows)
+
+
+def test_user_activity_finds_ids_inside_longer_tokens_and_seeds(spark):
+    rows = [
+        ("e", 1, "userId: ab pilot7"), ("e", 2, "userId: xabx"), ("e", 3, "see [xabx] userId: q.9"), ("e", 4, "userId: zz"),
+        ("e", 5, "q.9"), ("e", 6, None), ("f", 1, "ab"), ("f", 2, "the seed one"), ("e", 0, "userId: ab"), ("f", 3, ""),
+    ]
+    df = spark.createDataFrame(rows, "environment_key string, pos bigint, text string")
+    got = {(r.environment_key, r.pos) for r in sessions.user_activity(df, "pilot7").collect()}
+    assert got == {("e", 1), ("e", 2), ("e", 3), ("e", 5)}
+    got = {(r.environment_key, r.pos) for r in sessions.user_activity(df, "pilot7", ["seed one", "ab"]).collect()}
+    assert got == {("e", 0), ("e", 1), ("e", 2), ("e", 3), ("e", 5), ("f", 1), ("f", 2)}
+    assert sessions.user_activity(df.limit(0), "pilot7").count() == 0
+
+
+def closed(rows, recent):
+    """Sessions as (source, start, end, stale reason, actions)."""
+    ends = {p: s for _, p, s in leaves(rows, recent) if s is not None}
+    out, state = [], {}
+    for src, pos, env, join, leave, *_ in sorted(rows, key=lambda r: (r[0], r[1])):
+        cur = state.get(src)
+        if cur and cur["env"] != env:
+            cur.update(end=pos, why="environment_changed")
+            cur = None
+        if join:
+            if cur:
+                cur.update(end=pos - 1, why="superseded_by_join")
+            cur = {"src": src, "start": pos, "env": env, "end": None, "why": None, "n": 0}
+            out.append(cur)
+        elif leave and pos in ends:
+            hit = next(s for s in out if s["src"] == src and s["start"] == ends[pos])
+            hit.update(end=pos, why=None, n=hit["n"] + 1)
+            cur = None if hit is cur else cur
+        elif not leave and cur:
+            cur["n"] += 1
+        state[src] = cur
+    return sorted((s["src"], s["start"], s["end"], s["why"], s["n"]) for s in out)
+
+
+def test_closed_sessions(spark):
+    rng, rows = random.Random(8), []
+    for i in range(500):
+        kind = rng.random()
+        rows.append((f"s{i % 3}", i, f"e{i // 45 % 2}", kind < 0.2, 0.2 <= kind < 0.4, f"h{rng.randrange(4)}", rng.choice([None, "h0:1", "h1:1", "h9:1"])))
+    # positions rise over all sources, so that each is the key of one row
+    df = spark.createDataFrame(rows, "src string, pos bigint, environment_key string, is_join boolean, is_leave boolean, address string, endpoint string")
+    df = df.withColumns({"port": F.lit("1"), "ms": F.col("pos") * 10, "is_action": F.lit(True)})
+    for target in (10**6, 40):
+        got = sessions.closed_sessions(df, ["src"], "pos", "ms", target_rows=target)
+        assert sorted((r.src, r.start_pos, r.end_pos, r.stale_reason, r.action_count) for r in got.collect()) == closed(rows, 8)

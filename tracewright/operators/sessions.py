@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright.constants import CONTEXT_RADIUS
 from tracewright.functions.text import bracket, clean, group
-from tracewright.plans.scans import TARGET_ROWS, Lane, previous, scan, split_keys
+from tracewright.plans.scans import TARGET_ROWS, Lane, last, previous, scan, split_keys
 from tracewright.plans.settle import settle
 
 _B, _E = r"(?<!\w)", r"(?!\w)"
@@ -154,12 +154,55 @@ def attribute_leaves(rows: DataFrame, keys: Sequence[str], pos: str, recent: int
     )
 
 
+def closed_sessions(
+    rows: DataFrame, keys: Sequence[str], pos: str, ms: str, recent: int = 8, target_rows: int = TARGET_ROWS
+) -> DataFrame:
+    """Server sessions that a leave ends, with their number of actions.
+
+    Expects the columns of ``attribute_leaves`` and ``is_action``. A leave attributed to a session ends it at the leave and clears its stale
+    reason, also where the next join had closed it before. A session counts the leave and the actions after its join for as long as
+    it is the current one: up to the next join, the next change of environment or its own leave, whichever comes first. Joins
+    and leaves are no actions themselves.
+    """
+    keys = list(keys)
+    opened = settle(server_sessions(rows, keys, pos, ms, target_rows))
+    left = attribute_leaves(rows, keys, pos, recent, target_rows).where(F.col("session_pos").isNotNull())
+    times = rows.where("is_leave").select(*keys, F.col(pos).alias("leave_pos"), F.col(ms).alias("leave_ms"))
+    left = left.join(times, [*keys, "leave_pos"]).withColumnRenamed("session_pos", "start_pos")
+    both = opened.join(left, [*keys, "start_pos"], "left")
+    # the first position at which the session is no longer the current one
+    until = F.least(
+        F.when(F.col("stale_reason") == "superseded_by_join", F.col("end_pos") + 1).otherwise(F.col("end_pos")), F.col("leave_pos")
+    )
+    marks = rows.where(F.col("is_action") & ~F.col("is_join") & ~F.col("is_leave")).select(
+        *keys, F.col(pos).alias("pos"), F.lit(None).cast("bigint").alias("start_pos"), F.lit(None).cast("bigint").alias("until")
+    )
+    starts = both.select(*keys, F.col("start_pos").alias("pos"), "start_pos", until.cast("bigint").alias("until"))
+    cut, lane = split_keys(marks.unionByName(starts), keys, ["pos"], target_rows)
+    current = scan(cut, lane, {"_at": last(F.when(F.col("start_pos").isNotNull(), F.struct("start_pos", "until")))})
+    within = F.col("start_pos").isNull() & (F.col("_at.until").isNull() | (F.col("pos") < F.col("_at.until")))
+    counts = current.where(F.col("_at").isNotNull() & within).groupBy(*keys, F.col("_at.start_pos").alias("start_pos")).agg(
+        F.count(F.lit(1)).alias("_actions")
+    )
+    gone = F.col("leave_pos").isNotNull()
+    return both.join(counts, [*keys, "start_pos"], "left").select(
+        *keys, "environment_key", "start_pos", "started_ms",
+        F.coalesce("leave_pos", "end_pos").alias("end_pos"),
+        F.when(gone, F.col("leave_ms")).otherwise(F.col("ended_ms")).alias("ended_ms"),
+        F.when(~gone, F.col("stale_reason")).alias("stale_reason"),
+        (F.coalesce("_actions", F.lit(0)) + gone.cast("bigint")).cast("bigint").alias("action_count"),
+    )
+
+
 def session_stats(sessions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts and durations per key; with ``action_count`` (see ``closed_sessions``) also the actions of all sessions."""
+    actions = [F.sum("action_count").alias("actions")] if "action_count" in sessions.columns else []
     return sessions.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("sessions"),
         F.count("ended_ms").alias("closed"),
         F.sum(F.col("ended_ms") - F.col("started_ms")).alias("duration_ms"),
         F.count_if(F.col("stale_reason") == "environment_changed").alias("environment_changes"),
+        *actions,
     )
 
 
@@ -216,42 +259,72 @@ def user_facts(text: Column) -> Column:
     )
 
 
+def id_mentions(base: DataFrame, seeds: Sequence[str] = ()) -> DataFrame:
+    """Inverted index of ids: ``environment_key, pos, _id, known_id``, one row per line and id that its text contains.
+
+    An id holds only characters of ``_WORD``, so wherever a text contains it, it lies inside one token (a maximal run of them). Tokens are
+    cut once per environment into their parts of the lengths that ids have, and parts meet ids by equality. The driver learns the
+    distinct lengths of ids, nothing else. Seeds are arguments and may hold any character; they are tested on the text.
+    """
+    ids = base.where(F.col("_id").isNotNull()).select("environment_key", F.col("_id").alias("known_id")).distinct()
+    lengths = sorted(r[0] for r in ids.select(F.length("known_id")).distinct().collect())
+    token = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_.:-]+"), F.lit(0)))).alias("token")
+    tokens = base.select("environment_key", "pos", "_id", token)
+    starts = F.expr("sequence(1, length(token) - size + 1)")
+    parts = (
+        tokens.select("environment_key", "token").distinct()
+        .select("environment_key", "token", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("size"))
+        .where(F.length("token") >= F.col("size"))
+        .select("environment_key", "token", F.explode(
+            F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("token"), i, F.col("size"))))
+        ).alias("known_id"))
+    )
+    holds = parts.join(ids, ["environment_key", "known_id"], "left_semi")
+    found = tokens.join(holds, ["environment_key", "token"]).select("environment_key", "pos", "_id", "known_id")
+    given = [F.when(F.contains("text", F.lit(s)), F.lit(s)) for s in dict.fromkeys(seeds) if s]
+    if given:
+        named = F.explode(F.array_compact(F.array(*given))).alias("known_id")
+        found = found.unionByName(base.select("environment_key", "pos", "_id", named))
+    return found.distinct()
+
+
 def user_activity(lines: DataFrame, username: str, seeds: Sequence[str] = ()) -> DataFrame:
     """Lines that mention ``username`` or an id learned earlier in the same environment.
 
     ``lines`` carries environment_key, pos and text. Lines naming the user teach the id they state; lines mentioning a
-    known id from its first position on teach theirs. Rounds repeat until no id appears earlier than before, however long the chain; each round
-    joins on the environment with a containment test, the known ids being the small side.
+    known id from its first position on teach theirs. The index of mentions is built once. Each round joins it by (environment, id) with the
+    ids that the round before has learned or found earlier than known, and ends when there are none, however long the chain.
     """
-    named = F.contains(F.lower("text"), F.lit(username.lower()))
-    base = settle(lines.withColumns({"_id": user_facts(F.col("text")), "_named": named}))
-    known = base.where(F.col("_named") & F.col("_id").isNotNull()).groupBy(
-        "environment_key", F.col("_id").alias("known_id")
-    ).agg(F.min("pos").alias("since"))
+    named = F.coalesce(F.contains(F.lower("text"), F.lit(username.lower())), F.lit(False))
+    stated = user_facts(F.col("text"))
+    base = settle(lines.withColumns({"_id": F.when(stated != "", stated), "_named": named}))
+    mentions = settle(id_mentions(base, seeds))
+    key = ["environment_key", "known_id"]
+    new = base.where(F.col("_named") & F.col("_id").isNotNull()).select("environment_key", F.col("_id").alias("known_id"), F.col("pos").alias("since"))
     if seeds:
         seed = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("known_id")
-        known = known.unionByName(
+        new = new.unionByName(
             base.select("environment_key").distinct().select("environment_key", seed, F.lit(-1).cast("bigint").alias("since"))
-        ).groupBy("environment_key", "known_id").agg(F.min("since").alias("since"))
-    known = settle(known)
+        )
+    known = new = settle(new.groupBy(*key).agg(F.min("since").alias("since")))
+    teaching = mentions.where(F.col("_id").isNotNull() & (F.col("_id") != F.col("known_id")))
     while True:
         taught = (
-            base.where(F.col("_id").isNotNull())
-            .join(known, "environment_key")
-            .where((F.col("pos") >= F.col("since")) & F.contains("text", F.col("known_id")))
+            teaching.join(new, key)
+            .where(F.col("pos") >= F.col("since"))
             .groupBy("environment_key", F.col("_id").alias("known_id"))
             .agg(F.min("pos").alias("since"))
         )
-        wider = settle(
-            known.unionByName(taught).groupBy("environment_key", "known_id").agg(F.min("since").alias("since"))
+        before = known.withColumnRenamed("since", "_since")
+        new = settle(
+            taught.join(before, key, "left").where(F.col("_since").isNull() | (F.col("since") < F.col("_since"))).drop("_since")
         )
-        done = wider.join(known, ["environment_key", "known_id", "since"], "left_anti").isEmpty()
-        known = wider
-        if done:
+        if new.isEmpty():
             break
+        known = settle(known.unionByName(new).groupBy(*key).agg(F.min("since").alias("since")))
     mentioned = (
-        base.join(known, "environment_key")
-        .where((F.col("pos") >= F.col("since")) & F.contains("text", F.col("known_id")))
+        mentions.join(known, key)
+        .where(F.col("pos") >= F.col("since"))
         .select("environment_key", "pos")
         .distinct()
         .withColumn("_hit", F.lit(True))
@@ -261,5 +334,5 @@ def user_activity(lines: DataFrame, username: str, seeds: Sequence[str] = ()) ->
     )
 
 
-__all__ = ["Lane", "attribute_leaves", "merge_sightings", "party_comms", "server_sessions", "session_marks",
+__all__ = ["Lane", "attribute_leaves", "closed_sessions", "id_mentions", "merge_sightings", "party_comms", "server_sessions", "session_marks",
            "session_stats", "shard_facts", "shard_sightings", "user_activity", "user_facts"]

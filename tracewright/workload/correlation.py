@@ -270,7 +270,19 @@ def target_transitions(spark, sf):
     return out.select("event_id", "transition", "previous_target", "current_target")
 
 
-@query("match_purchases")
+_OPEN = "STRUCT(id BIGINT, ms BIGINT, req VARCHAR)[]"
+
+
+@query("match_purchases", f"""WITH RECURSIVE {EV}, q AS (SELECT user_id, event_id, ms, event_type = 'click' AS asks, CASE WHEN k % 2 = 0 THEN CAST(k % 5 AS VARCHAR) END AS req,
+CASE WHEN k % 10 = 9 THEN 'unknown' WHEN k % 3 = 0 THEN 'failure' ELSE 'success' END AS outcome, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS n FROM e WHERE event_type IN ('click', 'purchase')),
+w AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS {_OPEN}) AS opened, false AS unsure, true AS asks, CAST(NULL AS BIGINT) AS ident, CAST(NULL AS BIGINT) AS ms, CAST(NULL AS BIGINT) AS hit, '' AS outcome FROM q WHERE n = 1
+UNION ALL SELECT user_id, n, CASE WHEN asks THEN list_concat(alive, CAST([{{'id': event_id, 'ms': ms, 'req': req}}] AS {_OPEN})) WHEN hit IS NOT NULL THEN list_filter(alive, lambda x: x.id <> hit) ELSE alive END,
+flag OR (asks AND len(alive) > 0), asks, event_id, ms, hit, outcome FROM (
+SELECT *, CASE WHEN NOT asks AND outcome <> 'unknown' AND len(found) = 1 THEN found[1].id END AS hit FROM (
+SELECT *, CASE WHEN req IS NOT NULL THEN list_filter(alive, lambda x: x.req = req) WHEN len(alive) = 1 AND NOT flag THEN alive ELSE CAST([] AS {_OPEN}) END AS found FROM (
+SELECT *, unsure AND len(alive) > 0 AS flag FROM (
+SELECT q.*, w.unsure, list_filter(w.opened, lambda x: q.ms - x.ms <= {_H}) AS alive FROM w JOIN q ON q.user_id = w.user_id AND q.n = w.n + 1)))))
+SELECT user_id, ident, ms, hit AS request_ident, CASE WHEN hit IS NULL THEN 'unmatched' ELSE outcome END AS status FROM w WHERE NOT asks""")
 def match_purchases(spark, sf):
     t, k = F.col("event_type"), F.col("k")
     e = events(spark, sf)
@@ -334,11 +346,52 @@ def session_stats(spark, sf):
     return sessions.session_stats(sessions.server_sessions(_sessions(spark, sf), _KEY, "event_id", "ms"), ["environment_key"])
 
 
-@query("leave_attribution")
+#: the walk over joins and leaves as a recursion per user: the open session, and up to eight earlier ones, newest first
+_SEAT = "STRUCT(env VARCHAR, pos BIGINT, ep VARCHAR)"
+_WALK = f"""{EV}, q AS (SELECT user_id, event_id, ms, event_type, k, 'e' || ((ms // 259200000) % 3) AS env, 'h' || (k % 4) || ':1' AS ep,
+CASE WHEN k % 3 > 0 THEN 'h' || (k % 4) || ':1' END AS endpoint, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM e),
+w AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS {_SEAT}) AS cur, CAST([] AS {_SEAT}[]) AS older, CAST(NULL AS BIGINT) AS leave_pos, CAST(NULL AS BIGINT) AS session_pos FROM q WHERE n = 1
+UNION ALL SELECT user_id, n, CASE WHEN event_type = 'signup' THEN here WHEN hit = c.pos THEN NULL ELSE c END,
+CASE WHEN event_type = 'signup' AND c IS NOT NULL THEN list_concat([c], older)[1:8] WHEN hit IS NOT NULL THEN list_filter(older, lambda x: x.pos <> hit) ELSE older END,
+CASE WHEN event_type = 'error' THEN event_id END, hit FROM (
+SELECT *, CASE WHEN event_type = 'error' THEN CASE WHEN len(same) = 1 THEN same[1].pos WHEN len(same) = 0 AND len(able) = 1 THEN able[1].pos END END AS hit FROM (
+SELECT *, list_filter(able, lambda x: x.ep = endpoint) AS same FROM (
+SELECT *, list_filter(CASE WHEN c IS NULL THEN older ELSE list_concat([c], older) END, lambda x: x.env = env) AS able FROM (
+SELECT q.user_id, q.n, q.event_id, q.event_type, q.env, q.endpoint, w.older, CASE WHEN w.cur.env = q.env THEN w.cur END AS c,
+CAST({{'env': q.env, 'pos': q.event_id, 'ep': q.ep}} AS {_SEAT}) AS here FROM w JOIN q ON q.user_id = w.user_id AND q.n = w.n + 1)))))"""
+_LEFT = "SELECT user_id, leave_pos, session_pos FROM w WHERE leave_pos IS NOT NULL"
+
+
+@query("leave_attribution", f"WITH RECURSIVE {_WALK} {_LEFT}")
 def leave_attribution(spark, sf):
     return sessions.attribute_leaves(_sessions(spark, sf), _KEY, "event_id")
 
 
+_CLOSED = f"""{_WALK}, r AS{_SESS.split("r AS", 1)[1]}, l AS ({_LEFT} AND session_pos IS NOT NULL),
+o AS (SELECT s.*, l.leave_pos, x.ms AS leave_ms, least(CASE WHEN stale_reason = 'superseded_by_join' THEN end_pos + 1 ELSE end_pos END, l.leave_pos) AS until
+FROM s LEFT JOIN l ON l.user_id = s.user_id AND l.session_pos = s.start_pos LEFT JOIN e x ON x.event_id = l.leave_pos),
+a AS (SELECT o.user_id, o.start_pos, count(*) AS c FROM o JOIN e ON e.user_id = o.user_id AND e.event_id > o.start_pos AND (until IS NULL OR e.event_id < until)
+WHERE e.event_type IN ('click', 'view') AND NOT EXISTS (SELECT 1 FROM s t WHERE t.user_id = o.user_id AND t.start_pos > o.start_pos AND t.start_pos < e.event_id) GROUP BY 1, 2),
+f AS (SELECT o.user_id, environment_key, o.start_pos, started_ms, coalesce(leave_pos, end_pos) AS end_pos, CASE WHEN leave_pos IS NULL THEN ended_ms ELSE leave_ms END AS ended_ms,
+CASE WHEN leave_pos IS NULL THEN stale_reason END AS stale_reason, CAST(coalesce(c, 0) + (leave_pos IS NOT NULL)::INT AS BIGINT) AS action_count FROM o LEFT JOIN a ON a.user_id = o.user_id AND a.start_pos = o.start_pos)"""
+
+
+def _closed(spark, sf):
+    marks = _sessions(spark, sf).join(events(spark, sf).select("event_id", F.col("event_type").isin("click", "view").alias("is_action")), "event_id")
+    return sessions.closed_sessions(marks, _KEY, "event_id", "ms")
+
+
+@query("closed_sessions", f"WITH RECURSIVE {_CLOSED} SELECT * FROM f")
+def closed_sessions(spark, sf):
+    return _closed(spark, sf)
+
+
+@query("closed_session_stats", f"""WITH RECURSIVE {_CLOSED} SELECT environment_key, CAST(count(*) AS BIGINT) AS sessions, CAST(count(ended_ms) AS BIGINT) AS closed, CAST(sum(ended_ms - started_ms) AS BIGINT) AS duration_ms,
+CAST(count(*) FILTER (WHERE stale_reason = 'environment_changed') AS BIGINT) AS environment_changes, CAST(sum(action_count) AS BIGINT) AS actions FROM f GROUP BY 1""")
+def closed_session_stats(spark, sf):
+    return sessions.session_stats(_closed(spark, sf), ["environment_key"])
+
+
 def _sightings(spark, sf):
     e = events(spark, sf)
     k = F.col("k")
@@ -364,7 +417,29 @@ def shard_merge(spark, sf):
     return sessions.merge_sightings(_sightings(spark, sf), ["source_id"]).drop("shard_name")
 
 
-@query("user_activity")
+def _activity(ident: str, ref: str, named: str) -> str:
+    """Least fixed point over the ids: a line teaches its own id from any known id in it, itself included, that was known by then."""
+    return f"""WITH RECURSIVE {EV}, l AS (SELECT env, event_id AS pos, {ident} AS id, {ref} AS ref, {named} AS named FROM e),
+t AS (SELECT env, pos, id, id AS known_id FROM l UNION SELECT env, pos, id, ref FROM l WHERE ref IS NOT NULL),
+g AS (SELECT env, id, min(pos) AS since FROM l WHERE named GROUP BY 1, 2 UNION SELECT t.env, t.id, t.pos FROM g JOIN t ON t.env = g.env AND t.known_id = g.id AND t.pos >= g.since),
+b AS (SELECT env, id, min(since) AS since FROM g GROUP BY 1, 2)
+SELECT env AS environment_key, pos, id AS user_id FROM l WHERE named OR EXISTS (SELECT 1 FROM t JOIN b ON b.env = t.env AND b.id = t.known_id WHERE t.env = l.env AND t.pos = l.pos AND l.pos >= b.since)"""
+
+
+@query("user_activity_chain", _activity("'acc' || user_id || 'x'", "CASE WHEN k % 25 = 0 THEN 'acc' || (user_id + 3) || 'x' END", "user_id % 11 = 7 AND k < 50"))
+def user_activity_chain(spark, sf):
+    """Ids learned from ids: some lines also hold the id of another user of the same environment."""
+    e = events(spark, sf)
+    k, user = F.col("k"), F.col("user_id")
+    body = F.concat(
+        F.when((user % 11 == 7) & (k < 50), "handle: Pilot7 ").otherwise(""), text("accountId: acc", user, "x"),
+        F.when(k % 25 == 0, text(" with (acc", user + 3, "x)")).otherwise(""),
+    )
+    lines = e.select(F.col("env").alias("environment_key"), F.col("event_id").alias("pos"), body.alias("text"))
+    return sessions.user_activity(lines, "pilot7").select("environment_key", "pos", "user_id")
+
+
+@query("user_activity", _activity("'acc' || k || 'x'", "NULL::VARCHAR", "user_id % 5 = 1"))
 def user_activity(spark, sf):
     e = events(spark, sf)
     k = F.col("k")
