@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -277,3 +278,24 @@ def test_remove_later_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_units long, later boolean, `_ord` string, `_kept` long")
     out = {r["doc_id"]: tuple(r) for r in debruijn.remove_later(docs).collect()}
     assert out == {1: rows[0], 2: (2, "", *rows[1][2:]), 3: (3, "short", *rows[2][2:]), None: rows[3]}
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 50])
+def test_shared_grams_in_batches_of_any_size(rows):
+    rng = random.Random(rows)
+    grams = sorted(rng.choices(range(40), k=30) + [7] * 12 + [99])
+    table = pa.table({"key": [b"k"] * len(grams), "gram": grams, "a": list(range(len(grams))), "lo": grams, "n": grams})
+    got = [a for b in windows._shared_of(iter(table.to_batches(rows))) for a in b.column("a").to_pylist()]
+    inner = [i for i, g in enumerate(grams) if grams.count(g) > 1]
+    assert got == sorted({0, len(grams) - 1, *inner})
+
+
+def test_shared_grams_keeps_every_occurrence_of_a_frequent_gram(spark):
+    rows = [(f"{i:05d}".encode(), 5 if i % 3 == 0 else 1000 + i // 2, i, i, 1) for i in range(3000)]
+    runs = spark.createDataFrame(rows, "key binary, gram long, a long, lo long, n long")
+    counts = runs.groupBy("gram").count().where("count > 1")
+    want = {r.a for r in runs.join(counts, "gram").collect()}
+    kept = [r.a for r in windows.shared_grams(runs).collect()]
+    assert len(kept) == len(set(kept)) and want <= set(kept)
+    assert len(set(kept) - want) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert windows.shared_grams(runs.limit(0)).count() == 0

@@ -4,7 +4,8 @@ All windows of a text are covered by a small sample of positions. The smallest h
 have equal owners at equal distances, wherever they stand; runs of windows with one owner (about one run per 170 windows of
 400 bytes) are what Spark shuffles. Rounds then rank ever longer strings at the sampled positions:
 
-1. the owner's gram alone: owners with a unique gram hold no repeated window and drop out;
+1. the owner's gram alone: positions are sorted by it over all tasks, and one that differs from both neighbours holds no repeated window
+   and drops out. A gram that a third of all texts hold is a stretch of the order, split wherever the sort cuts it;
 2. runs are cut into cells by the distance to their owner. The *core* of a cell is what all its windows share, the *hull* what they
    cover together. A unique core ends the cell; a hull that occurs twice settles all its windows at once; a core
    with several hulls branches, and one copy of each hull is cut finer (all copies of the smallest ``ord`` of the hull, where only
@@ -143,6 +144,37 @@ def _runs_of(batches, plan: Plan):
             )
 
 
+def _shared_of(batches):
+    """Rows of sorted batches whose gram equals a neighbour's; the first and last row of the task too, as theirs may stand in another."""
+    names, before, held = ["key", "a", "lo", "n"], None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        g = b.column("gram").to_numpy()
+        same = g[1:] == g[:-1]
+        left = np.concatenate([[before is None or g[0] == before], same])
+        # whether the last row has an equal neighbour behind it shows in the next batch, so that row is held back
+        if held is not None and (held[1] or left[0]):
+            yield held[0].select(names)
+        keep = left[:-1] | same
+        before, held = g[-1], (b.slice(b.num_rows - 1), bool(left[-1]))
+        if keep.any():
+            yield b.slice(0, b.num_rows - 1).filter(pa.array(keep)).select(names)
+    if held is not None:
+        yield held[0].select(names)
+
+
+def shared_grams(runs: DataFrame) -> DataFrame:
+    """Runs (``key, a, lo, n``) whose gram stands elsewhere too, and at most two more a task.
+
+    Runs are dealt by ranges of (gram, text, position) and sorted, so no task holds more of a frequent gram than its share of the order.
+    """
+    tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["gram", "key", "a", "lo"]
+    in_order = runs.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    return in_order.mapInArrow(_shared_of, "key binary, a long, lo long, n long")
+
+
 _CELL = pa.schema(
     [("key", pa.binary()), ("ord", pa.int64()), ("core", pa.binary()), ("hull", pa.binary()), ("a", pa.int64()),
      ("lo", pa.int64()), ("n", pa.int64()), ("w", pa.int64())]
@@ -216,9 +248,7 @@ def repeated_windows(texts: DataFrame, plan: Plan, smaller: bool) -> DataFrame:
             lambda it: _runs_of(it, plan), "key binary, gram long, a long, lo long, n long"
         )
     )
-    common = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-    spans = runs.join(common, "gram", "left_semi").select("key", "a", "lo", "n")
-    spans = spans.withColumn("w", F.lit(None).cast("long"))
+    spans = shared_grams(runs).withColumn("w", F.lit(None).cast("long"))
     found: DataFrame | None = None
     for size in plan.cells:
         given = _per_text(texts, spans)
