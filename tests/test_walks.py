@@ -132,3 +132,21 @@ def test_closed_sessions(spark):
     for target in (10**6, 40):
         got = sessions.closed_sessions(df, ["src"], "pos", "ms", target_rows=target)
         assert sorted((r.src, r.start_pos, r.end_pos, r.stale_reason, r.action_count) for r in got.collect()) == closed(rows, 8)
+
+
+def test_related_events_of_a_value_that_all_share(spark):
+    rows = [("e", v, i, i // 3) for i in range(300) for v in ("all", f"v{i % 40}")] + [("f", "all", 900, 900)]
+    corr = spark.createDataFrame(rows, "environment_key string, value string, event_id bigint, ms bigint")
+    targets = spark.createDataFrame([("e", 299), ("e", 5), ("e", 1000)], "environment_key string, event_id bigint")
+    events = spark.createDataFrame([("e", 298, 99), ("e", 1000, 400), ("e", 7, 500), ("f", 900, 900)], "environment_key string, event_id bigint, ms bigint")
+    given = spark.createDataFrame([(5, 7), (5, 900), (1000, 298), (1000, 1000), (1000, 298), (1000, 12345)], "event_id bigint, contributor_id bigint")
+
+    def order(target, ids):
+        return sorted((i for i in ids if i != target), key=lambda i: (-(i // 3), i))[:4]
+
+    plain = correlate.related_events(corr, targets, 4).collect()
+    found = {t: [r.event_id for r in sorted(plain, key=lambda r: r["rank"]) if r.target_id == t] for t in (299, 5, 1000)}
+    assert found == {299: order(299, range(300)), 5: order(5, range(300)), 1000: []}
+    more = correlate.related_events(corr, targets, 4, given, events).collect()
+    found = {t: [r.event_id for r in sorted(more, key=lambda r: r["rank"]) if r.target_id == t] for t in (299, 5, 1000)}
+    assert found == {299: order(299, range(300)), 5: [7, *order(5, range(300))[:3]], 1000: [298]}

@@ -210,20 +210,31 @@ def match_purchases(
 
 
 def related_events(
-    correlations: DataFrame, targets: DataFrame, limit: int = 20
+    correlations: DataFrame, targets: DataFrame, limit: int = 20, contributors: DataFrame | None = None, events: DataFrame | None = None
 ) -> DataFrame:
-    """Events sharing a correlation value with a target in the same environment; newest first, ``limit`` per target.
+    """Events that share a correlation value with a target in its environment, or that contributed to it: newest first.
 
-    ``correlations`` is (environment_key, name, value, event_id, ms); ``targets`` names the target events. The join is
-    by (environment, value) against the values of the targets only, and a group limit keeps ``limit`` rows per target
-    on the map side.
+    ``correlations``: (environment_key, value, event_id, ms), ``targets``: (environment_key, event_id), ``contributors``: (event_id,
+    contributor_id) and, with it, ``events``: (environment_key, event_id, ms). Contributors of another environment are not related. At
+    most ``limit`` events (50 at most) per target, so of one value only the newest ``limit + 1`` events can matter, one of
+    which may be the target itself: a value that a whole environment shares is cut down to these before it meets its targets.
     """
+    limit, key = min(limit, 50), ["environment_key", "value"]
     wanted = correlations.join(targets, ["environment_key", "event_id"], "left_semi").select(
-        "environment_key", "value", F.col("event_id").alias("target_id")
+        *key, F.col("event_id").alias("target_id")
     ).distinct()
-    hits = correlations.join(wanted, ["environment_key", "value"]).where(F.col("event_id") != F.col("target_id"))
-    once = hits.groupBy("environment_key", "target_id", "event_id").agg(F.max("ms").alias("ms"))
-    return top_n(once, ["environment_key", "target_id"], [F.desc("ms")], min(limit, 50), ["event_id"])
+    able = correlations.join(wanted.select(*key).distinct(), key, "left_semi").select(*key, "event_id", "ms").distinct()
+    newest = top_n(able, key, [F.desc("ms")], limit + 1, ["event_id"]).drop("rank")
+    hits = newest.join(wanted, key).select("environment_key", "target_id", "event_id", "ms")
+    if contributors is not None:
+        if events is None:
+            raise ValueError("contributors need the events they name")
+        named = contributors.select(F.col("event_id").alias("target_id"), F.col("contributor_id").alias("event_id")).distinct()
+        own = targets.select("environment_key", F.col("event_id").alias("target_id"))
+        given = named.join(own, "target_id").join(events.select("environment_key", "event_id", "ms"), ["environment_key", "event_id"])
+        hits = hits.unionByName(given.select("environment_key", "target_id", "event_id", "ms"))
+    once = hits.where(F.col("event_id") != F.col("target_id")).groupBy("environment_key", "target_id", "event_id").agg(F.max("ms").alias("ms"))
+    return top_n(once, ["environment_key", "target_id"], [F.desc("ms")], limit, ["event_id"])
 
 
 def lineage(events: DataFrame) -> DataFrame:

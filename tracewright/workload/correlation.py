@@ -472,6 +472,20 @@ def related_events(spark, sf):
     return correlate.related_events(corr, targets).select("environment_key", "target_id", "event_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("related_contributors", f"""WITH {EV}, t AS (SELECT env, event_id AS target_id, user_id, k FROM e WHERE event_type = 'purchase'),
+h AS (SELECT t.env, target_id, e.event_id, e.ms FROM t JOIN e ON e.env = t.env AND e.user_id = t.user_id UNION SELECT t.env, target_id, e.event_id, e.ms FROM t JOIN e ON e.env = t.env AND e.k = t.k
+UNION SELECT t.env, target_id, e.event_id, e.ms FROM t JOIN e ON e.env = t.env AND e.event_id BETWEEN target_id - 4 AND target_id - 1)
+SELECT env AS environment_key, target_id, event_id, row_number() OVER (PARTITION BY env, target_id ORDER BY ms DESC, event_id) AS rank FROM h WHERE event_id <> target_id QUALIFY rank <= 7""")
+def related_contributors(spark, sf):
+    """The seven newest relations of every purchase, events just before it included as contributors."""
+    e = events(spark, sf).withColumnRenamed("env", "environment_key")
+    pairs = F.explode(F.array(F.concat(F.lit("user"), F.col("user_id")), F.concat(F.lit("k"), F.col("k")))).alias("value")
+    targets = e.where(F.col("event_type") == "purchase").select("environment_key", "event_id")
+    before = targets.select("event_id", F.explode(F.sequence(F.col("event_id") - 4, F.col("event_id") - 1)).alias("contributor_id"))
+    out = correlate.related_events(e.select("environment_key", pairs, "event_id", "ms"), targets, 7, before, e)
+    return out.select("environment_key", "target_id", "event_id", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("lineage", f"""WITH {EV} SELECT p.event_id, c.event_id AS contributor_id, c.event_type AS contributor_type FROM e p JOIN e c ON c.event_id IN (p.event_id - 1, p.event_id - 2) WHERE p.event_type = 'purchase'""")
 def lineage(spark, sf):
     e = events(spark, sf)
