@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import heapq
 import json
-import operator
+import re
+import unicodedata
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
@@ -28,7 +29,6 @@ from tracewright.llm.common import col, fresh
 MOST_BYTES = 64 << 20
 #: words kept in a worker's memory of encoded words, and their greatest length; it saves time only
 MEMORY, MEMORY_WORD = 500_000, 64
-_GROUP = operator.methodcaller("group")
 #: Fixed values of byte-level pre-tokenization: the split pattern, with white space by the Unicode property, and the printable bytes
 SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PATTERN = (
@@ -37,6 +37,23 @@ PATTERN = (
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
+def _latin() -> tuple[re.Pattern, re.Pattern]:
+    """The split pattern for texts of characters below U+0100, and a search for any character that it does not know.
+
+    There the letters, digits and white space are few enough for classes that ``re`` looks up in one table. Numbers other than 0 to 9
+    are left to the general pattern.
+    """
+    kinds = {c: unicodedata.category(c) for c in map(chr, range(256))}
+    letters = "".join(re.escape(c) for c, kind in kinds.items() if kind[0] == "L")
+    others = "".join(re.escape(c) for c, kind in kinds.items() if kind in ("No", "Nl"))
+    space = r"\t-\r \x85\xA0"
+    words = rf"'(?:[stmd]|re|ve|ll)| ?(?:[{letters}]+|[0-9]+|[^{space}{letters}0-9]+)|[{space}]+(?![^{space}])|[{space}]+"
+    return re.compile(words), re.compile(rf"[^\x00-\xFF]|[{others}]")
+
+
+LATIN_WORDS, NOT_LATIN = _latin()
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in the vocabulary: itself where printable, else the next letter from 256 on."""
     shown, letters, spare = set(PRINTABLE), [], 256
@@ -74,11 +91,12 @@ class Codec:
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         self.first = [vocab[c] for c in letters]
-        self.ranks: dict[tuple[int, int], int] = {}
+        #: rank of a pair by its first symbol, then by its second
+        self.after: list[dict[int, int]] = [{} for _ in range(max(vocab.values()) + 1)]
         self.made: list[int] = []
         for rank, pair in enumerate(given["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks[vocab[a], vocab[b]] = rank
+            self.after[vocab[a]][vocab[b]] = rank
             self.made.append(vocab[a + b])
         self.bytes = {i: bytes(byte_of[c] for c in s) for s, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in given["added_tokens"]}
@@ -91,31 +109,39 @@ class Codec:
     def merge(self, word: bytes) -> bytes:
         """Ids of one word, as 32-bit integers."""
         sym = [self.first[b] for b in word]
-        n, ranks, made = len(sym), self.ranks, self.made
+        n, after, made = len(sym), self.after, self.made
         # a symbol that is merged away, and the place behind the last one, hold -1, which is in no pair
         sym.append(-1)
         left, right = list(range(-1, n)), list(range(1, n + 2))
         # one integer per entry: the rank in front, the place behind it
         bits = n.bit_length()
         place = (1 << bits) - 1
-        queue = [r << bits | i for i, pair in enumerate(zip(sym, sym[1:], strict=False)) if (r := ranks.get(pair)) is not None]
+        queue = []
+        for i in range(n - 1):
+            if (r := after[sym[i]].get(sym[i + 1])) is not None:
+                queue.append(r << bits | i)
         heapq.heapify(queue)
+        push, pop = heapq.heappush, heapq.heappop
         while queue:
-            entry = heapq.heappop(queue)
+            entry = pop(queue)
             i, rank = entry & place, entry >> bits
-            j = right[i]
-            if j > n or ranks.get((sym[i], sym[j])) != rank:
+            s, j = sym[i], right[i]
+            if s < 0 or after[s].get(sym[j]) != rank:
                 continue  # stale: one of the two has been merged away
-            k = right[j]
-            sym[i], sym[j] = made[rank], -1
+            k, new = right[j], made[rank]
+            sym[i], sym[j] = new, -1
             right[i], left[k] = k, i
             h = left[i]
-            if (r := ranks.get((sym[h], sym[i]))) is not None:
-                heapq.heappush(queue, r << bits | h)
-            if (r := ranks.get((sym[i], sym[k]))) is not None:
-                heapq.heappush(queue, r << bits | i)
+            if h >= 0 and (r := after[sym[h]].get(new)) is not None:
+                push(queue, r << bits | h)
+            if (r := after[new].get(sym[k])) is not None:
+                push(queue, r << bits | i)
         return array("i", [s for s in sym if s >= 0]).tobytes()
 
+    def split(self, text: str) -> list[str]:
+        """Words by the split pattern."""
+        return (self.words if NOT_LATIN.search(text) else LATIN_WORDS).findall(text)
+
     def encode(self, text: str | None) -> np.ndarray:
         parts = self.cut.split(text or "") if self.cut else [text or ""]
         ids = []
@@ -123,7 +149,7 @@ class Codec:
             if part in self.special:
                 ids.append(np.int32(self.special[part]).tobytes())
             else:
-                ids.append(b"".join(map(self.memory.__getitem__, map(_GROUP, self.words.finditer(part)))))
+                ids.append(b"".join(map(self.memory.__getitem__, self.split(part))))
         return np.frombuffer(b"".join(ids), np.int32)
 
     def decode(self, ids) -> str:
