@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -41,7 +41,18 @@ from tracewright.functions.text import (
 from tracewright.operators import contracts
 from tracewright.operators.environment import build_compatibility, build_evidence, select_profile
 from tracewright.operators.framing import LANE
-from tracewright.operators.rules import LIFECYCLE_RULES, PTU_MARKERS, SIGNAL_RULES, Rule, matching_rules, profiles_table
+from tracewright.operators.rules import (
+    EXTRACTORS,
+    LIFECYCLE_RULES,
+    PROFILES,
+    PTU_MARKERS,
+    SIGNAL_RULES,
+    Profile,
+    Rule,
+    check_profiles,
+    matching_rules,
+    profiles_table,
+)
 from tracewright.operators.signals import captured_signals, signal_payload
 from tracewright.plans.scans import CHUNK, TARGET_ROWS, Lane, asof, last, previous, scan, split_offsets, total
 from tracewright.plans.settle import fenced, settle
@@ -68,8 +79,9 @@ class Parsed:
 
 
 def with_environment(
-    records: DataFrame, lane: Lane, spark: SparkSession, defaults: Mapping[str, str] | None = None
-) -> DataFrame:
+    records: DataFrame, lane: Lane, spark: SparkSession, defaults: Mapping[str, str] | None = None,
+    profiles: Sequence[Profile] = tuple(PROFILES),
+) -> DataFrame:
     """Records with environment facts, key, selected profile and compatibility verdict."""
     d = dict(defaults or {})
 
@@ -100,18 +112,23 @@ def with_environment(
         "env_confidence",
         environment_confidence(F.col("channel"), F.col("build"), F.col("branch"), F.col("env_name")),
     )
-    profiles = profiles_table(spark)
+    known_profiles = profiles_table(spark, profiles)
     wanted = d.get("profile_id")
-    chosen = profiles.where(F.col("profile_id") == wanted) if wanted else profiles.where(~F.col("fixture_only"))
+    chosen = known_profiles.where(F.col("profile_id") == wanted) if wanted else known_profiles.where(~F.col("fixture_only"))
     judged = build_compatibility(select_profile(keyed_env, chosen)).withColumnRenamed("version", "profile_version")
-    meta = profiles.select("profile_id", "rule_set", "parser_version")
+    meta = known_profiles.select("profile_id", "rule_set", "parser_version")
     out = judged.join(meta, "profile_id", "left").withColumn(
         "parser_version", F.coalesce("parser_version", F.lit("runtime-log-parser/0.1.0"))
     )
     return with_log_instant(out, "text", "ts_ms", "ts_code")
 
 
-def _observe(records: DataFrame, lane: Lane) -> DataFrame:
+def _own_rules(profiles: Sequence[Profile]) -> list[tuple[str, Rule]]:
+    """Rules that profiles bring, with the id of their profile."""
+    return [(p.profile_id, r) for p in profiles for r in p.own]
+
+
+def _observe(records: DataFrame, lane: Lane, profiles: Sequence[Profile] = ()) -> DataFrame:
     """Rule matches, extracted values and running lane state for records that carry an environment."""
     text = F.col("text")
     usable = F.col("status") == "compatible"
@@ -122,7 +139,13 @@ def _observe(records: DataFrame, lane: Lane) -> DataFrame:
         usable & (F.col("rule_set") == "captured-completions"),
         matching_rules("text", [r for r in SIGNAL_RULES if r.markers[0] in PTU_MARKERS]),
     )
-    base = records.withColumn("rules", F.coalesce(matched, F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    rules = F.coalesce(matched, none)
+    for p in profiles:
+        if p.own:
+            here = usable & (F.col("profile_id") == p.profile_id)
+            rules = F.concat(rules, F.when(here, matching_rules("text", p.own)).otherwise(none))
+    base = records.withColumn("rules", rules)
 
     def on(*ids: str) -> Column:
         out = F.lit(False)
@@ -286,14 +309,17 @@ def _of(rule_id: str, when: Column, payload: Column, scope: Column | None = None
     return _candidate(rule_id, RULES[rule_id].event_type, when, payload, scope)
 
 
-def _by_type(values: dict[str, list[str]]) -> Column:
+def _by_type(values: dict[str, list[str]], column: str = "event_type") -> Column:
     """Field list of the row's event type, from one constant map."""
     table = F.from_json(F.lit(json.dumps(values)), "map<string,array<string>>")
-    return F.coalesce(F.try_element_at(table, F.col("event_type")), F.array().cast("array<string>"))
+    return F.coalesce(F.try_element_at(table, F.col(column)), F.array().cast("array<string>"))
+
 
+def _finish(rows: DataFrame, own: Sequence[Rule] = ()) -> DataFrame:
+    """Attach what the rule and the event type fix: family, required fields, dedupe values, confidence, provenance.
 
-def _finish(rows: DataFrame) -> DataFrame:
-    """Attach what the rule and the event type fix: family, required fields, dedupe values, confidence, provenance."""
+    Rules of callers fix theirs by rule, not by type: two of them may emit one type with other fields.
+    """
     typed = [r for r in RULES.values() if r.event_type]
     vehicle = RULES["vehicle.control-released"]
     required = {r.event_type: list(r.required) for r in typed}
@@ -302,16 +328,28 @@ def _finish(rows: DataFrame) -> DataFrame:
         required[t], dedupe[t] = list(vehicle.required), list(vehicle.dedupe)
     medium = [r.event_type for r in typed if r.confidence == "medium"]
     inferred = ["VehicleRetrieved", "VehicleControlAcquired", "VehicleStored", "QuantumTargetChanged", "QuantumTravelArrived"]
-    drifting = [r.rule_id for r in typed if r.drift]
+    drifting = [r.rule_id for r in [*typed, *own] if r.drift]
+    by_rule = F.col("rule_id").isin(*[r.rule_id for r in own]) if own else F.lit(False)
+
+    def fixed(by_type: dict[str, list[str]], attribute: str) -> Column:
+        if not own:
+            return _by_type(by_type)
+        return F.when(by_rule, _by_type({r.rule_id: list(getattr(r, attribute)) for r in own}, "rule_id")).otherwise(_by_type(by_type))
+
+    sure = F.when(F.col("event_type").isin(*medium), "medium").otherwise("high")
+    if own:
+        told = F.from_json(F.lit(json.dumps({r.rule_id: r.confidence for r in own})), "map<string,string>")
+        sure = F.when(by_rule, F.try_element_at(told, F.col("rule_id"))).otherwise(sure)
+    derived = F.col("event_type").isin(*inferred) & ~by_rule
     return rows.withColumns(
         {
             "family": F.substring_index("rule_id", ".", 1),
-            "required": _by_type(required),
+            "required": fixed(required, "required"),
             "dedupe_values": F.transform(
-                _by_type(dedupe), lambda f: F.coalesce(F.try_element_at(F.col("payload"), f), F.lit("UNKNOWN"))
+                fixed(dedupe, "dedupe"), lambda f: F.coalesce(F.try_element_at(F.col("payload"), f), F.lit("UNKNOWN"))
             ),
-            "confidence": F.when(F.col("event_type").isin(*medium), "medium").otherwise("high"),
-            "provenance": F.when(F.col("event_type").isin(*inferred), "inferred").otherwise("observed"),
+            "confidence": sure,
+            "provenance": F.when(derived, "inferred").otherwise("observed"),
             "drift": F.col("rule_id").isin(*drifting),
         }
     )
@@ -605,21 +643,47 @@ def _vehicles(seen: DataFrame) -> DataFrame:
     ))
 
 
-def emit_candidates(seen: DataFrame, hot: int | None = TARGET_ROWS) -> DataFrame:
+def _callers(seen: DataFrame, own: Sequence[tuple[str, Rule]]) -> DataFrame:
+    """Candidates of the rules that profiles bring, read by their extractors in one pass over the matching records."""
+    text = F.col("text")
+    parts = [
+        _candidate(
+            r.rule_id, r.event_type, (F.col("profile_id") == profile) & F.array_contains("rules", r.rule_id),
+            F.map_filter(_map(**{name: EXTRACTORS[kind](text, key) for name, kind, key in r.fields}), lambda _, v: v.isNotNull()),
+        )
+        for profile, r in own
+    ]
+    hit = seen.where(F.arrays_overlap("rules", F.array(*[F.lit(r.rule_id) for _, r in own])))
+    none = F.lit(None).cast("string").alias("marker")
+    return hit.select(*_CARRY, none, _NO_REFS(), F.inline(F.array_compact(F.array(*parts))))
+
+
+def emit_candidates(seen: DataFrame, hot: int | None = TARGET_ROWS, profiles: Sequence[Profile] = ()) -> DataFrame:
     """All candidates of all rule kinds. ``hot`` is the row count above which a port or endpoint is cut into chunks."""
-    return _finish(_stateless(seen).unionByName(_joins(seen, hot)).unionByName(_vehicles(seen)).unionByName(_signals(seen)))
+    rows = _stateless(seen).unionByName(_joins(seen, hot)).unionByName(_vehicles(seen)).unionByName(_signals(seen))
+    own = [(p, r) for p, r in _own_rules(profiles) if r.event_type]
+    if own:
+        rows = rows.unionByName(_callers(seen, own))
+    return _finish(rows, [r for _, r in own])
 
 
 def parse_records(
-    records: DataFrame, spark: SparkSession, defaults: Mapping[str, str] | None = None, byte_scope: bool = False
-) -> Parsed:
-    """Records to events, diagnostics and unmatched evidence."""
+    records: DataFrame, spark: SparkSession, defaults: Mapping[str, str] | None = None, byte_scope: bool = False,
+    profiles: Sequence[Profile] = tuple(PROFILES),
+) -> Parsed:
+    """Records to events, diagnostics and unmatched evidence.
+
+    ``profiles`` replaces the reviewed profiles for this call; each may bring rules of its own. Raises ``ValueError`` with all defects if
+    they are not sound.
+    """
+    if wrong := check_profiles(profiles, contracts.PAYLOADS):
+        raise ValueError("; ".join(wrong))
     chunked, lane = split_offsets(settle(records), LANE)
-    env = with_environment(chunked, lane, spark, defaults)
+    env = with_environment(chunked, lane, spark, defaults, profiles)
     # the observation table feeds four candidate branches and the unmatched evidence: computed once, then read
-    seen = settle(_observe(env, lane).drop(CHUNK))
+    seen = settle(_observe(env, lane, profiles).drop(CHUNK))
     # so are the candidates: events, drift and unmatched evidence all read them
-    candidates = settle(emit_candidates(seen, TARGET_ROWS if lane.split else None))
+    candidates = settle(emit_candidates(seen, TARGET_ROWS if lane.split else None, profiles))
     complete, incomplete = contracts.require_fields(candidates)
     failed = candidates.withColumn(
         "failed", F.size(contracts.missing_fields(F.col("payload"), F.col("required"))) > 0

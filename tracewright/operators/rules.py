@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.constants import DRIFT_MIN_RECORDS, DRIFT_MIN_UNKNOWN, DRIFT_RATIO
+from tracewright.functions.text import bracket, keyed, quoted, to_boolean, to_integer
 
 
 @dataclass(frozen=True)
 class Rule:
-    """One extraction rule: all ``literals`` must occur in the record; state rules have no event type."""
+    """One extraction rule: all ``literals`` must occur in the record; state rules have no event type.
+
+    ``fields`` says how a rule that a caller brings reads its payload: (field, extractor, key), the extractors being those of ``EXTRACTORS``.
+    """
 
     rule_id: str
     literals: tuple[str, ...]
@@ -23,6 +28,7 @@ class Rule:
     confidence: str = "high"
     drift: bool = False
     markers: tuple[str, ...] = field(default=())
+    fields: tuple[tuple[str, str, str], ...] = ()
 
     @property
     def family(self) -> str:
@@ -195,6 +201,10 @@ SIGNAL_RULES = [
 PTU_MARKERS = ["Player Inventory Request Complete", "Inventory Request Completed"]
 
 
+#: names of the built-in rule sets
+RULE_SETS = ("", "lifecycle", "captured", "captured-completions")
+
+
 @dataclass(frozen=True)
 class Profile:
     """Where a rule set applies. ``fixture_only`` profiles apply only when asked for by id."""
@@ -212,6 +222,8 @@ class Profile:
     exclusions: tuple[str, ...] = ()
     universes: tuple[str, ...] = ("PU",)
     fixture_only: bool = False
+    #: rules of its own, applied beside the rule set that ``rules`` names ("" for none)
+    own: tuple[Rule, ...] = ()
 
 
 # --- fixed values: reviewed profiles ----------------------------------------------------------------------------------
@@ -231,6 +243,47 @@ PROFILES: list[Profile] = [
 ]
 
 
+#: how a field of a rule is read from the text of a record
+EXTRACTORS: dict[str, Callable[[Column, str], Column]] = {
+    "bracket": bracket,
+    "keyed": keyed,
+    "quoted": quoted,
+    "integer": lambda text, key: to_integer(F.coalesce(bracket(text, key), keyed(text, key))),
+    "boolean": lambda text, key: to_boolean(F.coalesce(bracket(text, key), keyed(text, key))),
+    "constant": lambda text, key: F.lit(key),
+}
+
+
+def check_profiles(profiles: Sequence[Profile], event_fields: Mapping[str, Collection[str]]) -> list[str]:
+    """What is wrong with profiles that a caller brings; nothing, if the list is empty.
+
+    Ids are unique; a profile has channels and builds it was tested with; each of its own rules has literals, an id of the form ``family.name``
+    that no other rule of the call has, a known event type, known extractors, and fields that the event type has, all required ones among them.
+    """
+    wrong: list[str] = []
+    ids = [p.profile_id for p in profiles]
+    wrong += [f"{i}: duplicate_profile" for i in sorted({i for i in ids if ids.count(i) > 1})]
+    taken = {r.rule_id for r in [*LIFECYCLE_RULES, *SIGNAL_RULES]}
+    for p in profiles:
+        wrong += [f"{p.profile_id}: missing_{n}" for n, v in (("channels", p.channels), ("tested_builds", p.tested_builds)) if not v]
+        wrong += [f"{p.profile_id}: unknown_rule_set {p.rules}"] * (p.rules not in RULE_SETS)
+        for r in p.own:
+            at = f"{p.profile_id}/{r.rule_id}"
+            wrong += [f"{at}: duplicate_rule"] * (r.rule_id in taken) + [f"{at}: rule_without_family"] * ("." not in r.rule_id)
+            wrong += [f"{at}: rule_without_literals"] * (not r.literals or not all(r.literals))
+            taken.add(r.rule_id)
+            if r.event_type is None:
+                continue
+            if r.event_type not in event_fields:
+                wrong.append(f"{at}: unknown_event_type {r.event_type}")
+                continue
+            read = {name for name, _, _ in r.fields}
+            wrong += [f"{at}: unknown_extractor {kind}" for _, kind, _ in r.fields if kind not in EXTRACTORS]
+            wrong += [f"{at}: unknown_field {f}" for f in sorted(read - set(event_fields[r.event_type]))]
+            wrong += [f"{at}: field_never_read {f}" for f in [*r.required, *r.dedupe] if f not in read]
+    return wrong
+
+
 def profiles_table(spark: SparkSession, profiles: Sequence[Profile] = tuple(PROFILES)) -> DataFrame:
     return spark.createDataFrame(
         [
@@ -255,6 +308,8 @@ def rules_table(spark: SparkSession, rules: Sequence[Rule], profile_id: str = ""
 
 # --- dispatch ---------------------------------------------------------------------------------------------------------
 def _quote(literal: str) -> str:
+    if "'" in literal and '"' in literal:
+        return " || ".join(_quote(x) for x in re.split("(')", literal) if x)
     return f"r'{literal}'" if "'" not in literal else f'r"{literal}"'
 
 
