@@ -1,5 +1,7 @@
 """Embedding links, nearest neighbours, shards, mixing and url verdicts against brute force."""
 
+from os.path import dirname
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -154,3 +156,66 @@ def test_url_deep_paths(spark):
     assert {r[0].split("/")[6] for r in out if r[1] == "block"} == {"bad"} and all("**" not in r[3] for r in out)
     lone = spark.createDataFrame([("http://h.net/" + "z/" * 300,), ("http://h.net/q",)], "url string")
     assert max(len(r["template"]) for r in url_filter.judge_urls(lone).collect()) == 600
+
+
+def plain_templates(paths):
+    """Level by level in plain Python: template of each (host, parts), from counted paths (host, parts, n, allow, block)."""
+    out = {}
+
+    def kind(parts, at):
+        if at >= len(parts):
+            return 0
+        return 1 if parts[at] in ("<n>", "<hash>") else 2 if "<" in parts[at] else 3
+
+    def chi(own, pool):
+        n, total = sum(own), sum(pool)
+        return sum((o - n * p / total) ** 2 / (n * p / total) for o, p in zip(own, pool, strict=True) if n * p)
+
+    def walk(host, rows, at, template):
+        branches = {}
+        for r in rows:
+            if len(r[0]) == at:
+                out[host, tuple(r[0])] = template
+            else:
+                branches.setdefault(r[0][at], []).append(r)
+        shapes = {s: [sum(r[1] for r in b if kind(r[0], at + 1) == k) for k in range(4)] for s, b in branches.items()}
+        tastes = {s: [sum(r[i] for r in b) for i in (2, 3)] for s, b in branches.items()}
+        pools = [[sum(c) for c in zip(*t.values(), strict=True)] for t in (shapes, tastes)]
+        below = {}
+        for s, b in branches.items():
+            alike = chi(shapes[s], pools[0]) <= url_filter.CHI_3 and (not sum(tastes[s]) or chi(tastes[s], pools[1]) <= url_filter.CHI_1)
+            below.setdefault("*" if alike and len(branches) > 1 else s, []).extend(b)
+        for s, b in below.items():
+            walk(host, b, at + 1, f"{template}/{s}")
+
+    for host in {p[0] for p in paths}:
+        walk(host, [p[1:] for p in paths if p[0] == host], 0, "")
+    return out
+
+
+def test_url_templates_against_plain_walk(spark, sf):
+    """Templates of random trees, of paths with 500 shared segments, of paths that are starts of others, and of the given pages."""
+    from random import Random
+
+    r = Random(11)
+    words = ["a", "b", "c", "<n>", "p<n>", "<hash>"]
+    rows = {("r.net", tuple(r.choices(words, k=r.randint(0, 5)))) for _ in range(300)}
+    rows |= {("deep.net", ("d",) * n + (w,)) for n, w in ((500, "x"), (500, "y"), (499, "z"))} | {("deep.net", ("d",) * 250), ("one.net", ())}
+    counted = [(h, list(p), r.randint(1, 9), r.randint(0, 6), r.randint(0, 6) * (p[:1] == ("a",))) for h, p in sorted(rows)]
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(url_filter.host_of(F.col("url")).alias("h"), url_filter.path_of(F.col("url")).alias("p"))
+    given = pages.groupBy("h", url_filter.typed_segments(F.col("p")).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counted += [("given " + g["h"], g["s"], g["n"], i % 3, i % 2) for i, g in enumerate(sorted(given, key=lambda g: (g["h"], g["s"])))]
+    found = url_filter.templates(spark.createDataFrame(counted, "host string, parts array<string>, n long, allow long, block long")).collect()
+    assert {(f["host"], tuple(f["parts"])): f["template"] for f in found} == plain_templates(counted) and len(found) == len(counted)
+
+
+def test_url_labels_held_out(spark, sf):
+    """With a fifth of the labelled urls hidden, their templates tell more of the labels that the rules gave them than one verdict for all would."""
+    pages = spark.read.parquet(f"{dirname(sf)}/sf0.1/pages.parquet").select("page_id", "url")
+    ruled = url_filter.judge_urls(pages).where("rule is not null").select("page_id", "url", F.col("verdict").alias("truth"))
+    hidden = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(5)) == 0
+    marked = ruled.withColumn("label", F.when(~hidden, F.col("truth")))
+    got = url_filter.judge_urls(marked, rules=(), label="label").where("label is null").select("truth", "verdict").collect()
+    right, allowed = sum(g["truth"] == g["verdict"] for g in got), sum(g["truth"] == "allow" for g in got)
+    assert len(got) > 150 and right >= 0.8 * len(got) > 1.1 * max(allowed, len(got) - allowed)
+    assert sum(g["truth"] == "allow" and g["verdict"] == "block" for g in got) <= 0.08 * allowed

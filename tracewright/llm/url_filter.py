@@ -12,6 +12,7 @@ Everything runs on DataFrame functions; hosts with a third of all pages are comb
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,24 +97,35 @@ def _chi(own: list[Column], own_n: Column, all_: list[Column], all_n: Column) ->
     return out
 
 
+def _common(lo: Column, hi: Column) -> Column:
+    """How many segments two paths share at their start."""
+    same = F.zip_with(lo, hi, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    at = F.array_position(same, F.lit(False))
+    return F.when(at > 0, at - 1).otherwise(F.size(same)).cast("int")
+
+
 def templates(paths: DataFrame) -> DataFrame:
-    """Template of each counted path: ``paths(host, parts, n, allow, block)`` with ``template`` added."""
-    done: DataFrame | None = None
-    tree, d = settle(paths.withColumn("template", F.lit(""))), 0
+    """Template of each counted path: ``paths(host, parts, n, allow, block)`` with ``template`` added.
+
+    A round takes every node past what all its paths share (the common start of the smallest and the largest of them), to their ends if there
+    is only one, and then compares the branches there. Rounds are thus as many as branchings on one path, however long the paths are.
+    """
+    done: list[DataFrame] = []
+    tree = settle(paths.withColumn("template", F.lit("")).withColumn("at", F.lit(0)))
     while True:
-        # a path that is alone at its node has one branch on every further level, which stays as it is
-        shared = tree.groupBy("host", "template").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("host", "template")
-        whole = F.concat_ws("/", "template", F.slice("parts", d + 1, F.size("parts")))
-        ended = tree.where(F.size("parts") <= d).unionByName(
-            tree.where(F.size("parts") > d).join(shared, ["host", "template"], "left_anti").withColumn("template", whole)
+        rest = F.slice("parts", F.col("at") + 1, F.greatest(F.size("parts") - F.col("at"), F.lit(0)))
+        ends = tree.groupBy("host", "template").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"))
+        shared = ends.select("host", "template", _common(F.col("lo"), F.col("hi")).alias("jump"))
+        further = F.concat_ws("/", "template", F.slice("parts", F.col("at") + 1, F.col("jump")))
+        moved = settle(
+            tree.join(shared, ["host", "template"]).withColumns({"template": further, "at": F.col("at") + F.col("jump")}).drop("jump")
         )
-        done = ended if done is None else done.unionByName(ended)
-        tree = settle(tree.where(F.size("parts") > d).join(shared, ["host", "template"], "left_semi"))
-        if tree.isEmpty():
-            return done
-        seg = F.try_element_at("parts", F.lit(d + 1))
-        below = _kind(F.try_element_at("parts", F.lit(d + 2)))
-        node = tree.withColumn("seg", seg)
+        done.append(moved.where(F.size("parts") <= F.col("at")).drop("at"))
+        node = moved.where(F.size("parts") > F.col("at"))
+        if node.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        node = node.withColumn("seg", F.try_element_at("parts", F.col("at") + 1))
+        below = _kind(F.try_element_at("parts", F.col("at") + 2))
         counts = [F.sum(F.when(below == k, F.col("n")).otherwise(0)).alias(f"k{k}") for k in range(4)]
         branch = node.groupBy("host", "template", "seg").agg(
             F.sum("n").alias("bn"), F.sum("allow").alias("ba"), F.sum("block").alias("bb"), *counts
@@ -131,18 +143,18 @@ def templates(paths: DataFrame) -> DataFrame:
         merged = F.when((F.col("width") > 1) & alike, F.lit("*")).otherwise(F.col("seg"))
         step = both.select("host", "template", "seg", merged.alias("to"))
         tree = node.join(step, ["host", "template", "seg"]).withColumn("template", F.concat("template", F.lit("/"), "to"))
-        tree, d = settle(tree.drop("seg", "to")), d + 1
+        tree = settle(tree.drop("seg", "to").withColumn("at", F.col("at") + 1))
 
 
 def judge_urls(
-    pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, prior: float = 20.0, reject: float = 0.6,
+    pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, prior: float = 1.0, reject: float = 0.5,
     label: str | None = None,
 ) -> DataFrame:
     """Every row of ``pages`` with ``host``, ``path``, ``rule``, ``template``, ``purity`` and ``verdict`` (allow or block).
 
     A fitting rule decides. Its verdict also labels the page for the template tree, unless ``label`` names a column of own labels
     (allow, block, null). Otherwise a template whose smoothed share of blocked labels, ``(block + prior * host share) / (labels +
-    prior)``, exceeds ``reject`` is blocked. Null urls and urls without ``://`` have an empty host and path and are judged like any
+    prior)``, exceeds ``reject`` is blocked. ``prior`` and ``reject`` are set by labels held out (see the README). Null urls and urls without ``://`` have an empty host and path and are judged like any
     template. Repeated rows get equal verdicts; an empty table gives an empty result. Columns of ``pages`` whose names clash with a
     new one keep their names, and the new one gets underscores.
     """
