@@ -79,3 +79,17 @@ def test_quality_odd_rows(spark):
 @pytest.mark.parametrize("text", [None, "", " \n\t", "a", "x" * 200_000])
 def test_features_bounded(text):
     assert all(0 <= v < 5000 for v in quality.features_of(text)) and len(quality.features_of(text)) == len(quality.NAMES)
+
+
+def test_bpe_split_below_256():
+    """Texts of characters below U+0100 are split by a table of their classes, as the general pattern splits them."""
+    from random import Random
+
+    import regex
+
+    r, general = Random(3), regex.compile(bpe.PATTERN)
+    letters = [chr(i) for i in range(256)]
+    texts = ["".join(r.choices(letters, k=80)) for _ in range(3000)] + ["a'll 've'x  \n\n y\x85\xa0z \x1c\x1d 12\xb23", " " * 9, "'", ""]
+    plain = [t for t in texts if not bpe.NOT_LATIN.search(t)]
+    assert 100 < len(plain) and all(bpe.LATIN_WORDS.findall(t) == general.findall(t) for t in plain)
+    assert all(bpe.NOT_LATIN.search(c) for c in "\xb2\xbdĀ漢")
