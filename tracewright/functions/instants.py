@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.text import group
 
+# --- fixed values: patterns of the log format
 _STAMP = r"<(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?(?:Z|[+-]\d{2}:\d{2})?)>"
 _INSTANT = r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})(?:\.(\d{1,9}))?(Z|[+-]\d{2}:\d{2})\z"
 

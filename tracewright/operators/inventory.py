@@ -14,6 +14,7 @@ from tracewright.operators.dedupe import kept_instants
 from tracewright.plans.scans import Lane, last, scan, total
 from tracewright.plans.settle import fenced, settle
 
+# --- fixed values: patterns of the log format
 _MARK = r"^<[^>]+>\s+\[Notice\]\s+<(Add Inventory Management Move|Inventory Mgmt Request Queued|Player Inventory Request Complete)>\s+"
 _BREAK = r"<Init>|<Join PU>|<SystemQuit>|<Channel Disconnected>|RequestFrontEndReason|<Channel Created>.*(?<!\w)frontend(?!\w)|<Game Version>|(?<!\w)FileVersion:"
 

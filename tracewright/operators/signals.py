@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.text import bracket_raw, group, number_text, plain_number, safe_name, trim_ws
 from tracewright.operators.rules import ATTACHMENT_PORTS, SIGNAL_OPERATIONS, SIGNALS
 
+# --- fixed values: patterns of the log format
 _HEAD = r"^<[^>]+>\s+\[(Notice|Warning|Error)\]\s+<(.*?)>\s+([^\r\n]*)\z"
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from dataclasses import replace
 
+from pyspark.sql import functions as F
 
 from tracewright.functions.identity import event_id, order_key, scoped_id
-
 from tracewright.functions.text import bracket, keyed, notification, outcome_kind, to_integer
-from tracewright.operators import contracts, dedupe, emission, framing, rules, signals
+from tracewright.operators import contracts, dedupe, emission, framing, health, rules, signals
 from tracewright.workload.base import DEFAULTS, EV, TYPES, as_lines, events, pick, query, session_lines, sql_case, stamp, table, text, type_name
 
 _SPLIT = """p AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
@@ -379,3 +379,20 @@ def result_words(spark, sf):
     return e.groupBy("env", "outcome").agg(F.count(F.lit(1)).alias("rows"))
 
 
+
+
+def _own_rule(name: str, jurisdiction: tuple[str, str]) -> rules.Rule:
+    fields = (("notificationId", "bracket", "port"), ("jurisdiction", *jurisdiction))
+    return rules.Rule(name, ("<Join PU>", "locationId["), "JurisdictionEntered", ("notificationId", "jurisdiction"), ("notificationId",), fields=fields)
+
+
+@query("caller_rules", f"""WITH {EV} SELECT CAST(user_id AS VARCHAR) AS source_id, CAST(event_id AS BIGINT) AS byte_offset,
+CASE WHEN k % 7 = 3 THEN 'event' ELSE 'match_conflict' END AS code, 'JurisdictionEntered' AS detail FROM e WHERE event_type = 'signup'""")
+def caller_rules(spark, sf):
+    """A profile with two rules of its own that read join lines: where they differ a diagnostic, where they agree one event."""
+    own = (_own_rule("own.shard", ("bracket", "shard")), _own_rule("own.constant", ("constant", "shard_3")))
+    profiles = [replace(p, own=own) if p.profile_id == "sc-4.9-live" else p for p in rules.PROFILES]
+    parsed = emission.parse_records(_records(spark, sf), spark, DEFAULTS, profiles=profiles)
+    told = health.diagnostics_of(parsed).select("source_id", "byte_offset", "code", "detail")
+    found = parsed.events.where("event_type = 'JurisdictionEntered'")
+    return told.unionByName(found.select("source_id", "byte_offset", F.lit("event").alias("code"), F.col("event_type").alias("detail")))
