@@ -51,6 +51,44 @@ def test_release_match_in_any_order(spark, tmp_path):
         assert sorted((r.u, r.close_ref, r.open_ref, r.ms) for r in out.collect()) == want
 
 
+class Calls:
+    """A handle and its state in memory, with the number of calls to them."""
+
+    def __init__(self):
+        self.n, self.list, self.value, self.timers = 0, [], None, set()
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.n += 1
+            if name == "appendList":
+                self.list += given[0]
+            elif name == "get":
+                return list(self.list)
+            elif name == "clear":
+                self.list = []
+            elif name == "exists":
+                return False
+            elif name == "registerTimer":
+                self.timers.add(given[0])
+            return self
+
+        return call
+
+    getCurrentWatermarkInMs = lambda self: 5_000
+
+
+def test_release_match_calls_do_not_grow_with_rows():
+    for n in (10, 2000):
+        calls = Calls()
+        match = timed.ReleaseMatch(["u", "close_ref", "open_ref", "ms", "elapsed_ms"], 900)
+        match.init(calls)
+        rows = [{"row_ms": i * 4, "row_ref": str(i), "row_open": i % 2 == 0} for i in range(n)]
+        assert list(match.handleInputRows(("a",), iter(rows), calls)) == [] and calls.timers == {0}
+        out = list(match.handleExpiredTimer(("a",), calls, None))
+        assert len(out) == min(n, 1251) // 2 and tuple(out[0]) == ("a", "1", "0", 4, 4)
+        assert len(calls.list) == max(n - 1251, 0) and calls.n < 20
+
+
 def test_dedupe_state_ends(spark, tmp_path):
     rows, top = some_rows(5)
     rows += [(f"once{i}", 1000 + i, "o", 10_000 + i) for i in range(20)]
