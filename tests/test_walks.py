@@ -150,3 +150,23 @@ def test_related_events_of_a_value_that_all_share(spark):
     more = correlate.related_events(corr, targets, 4, given, events).collect()
     found = {t: [r.event_id for r in sorted(more, key=lambda r: r["rank"]) if r.target_id == t] for t in (299, 5, 1000)}
     assert found == {299: order(299, range(300)), 5: [7, *order(5, range(300))[:3]], 1000: [298]}
+
+
+def test_related_events_deal_their_rows_by_number(spark, monkeypatch):
+    """Tasks get a bounded number of rows, and many wanted values give the same relations as few that are broadcast."""
+    rows = [("env", v, i, i % 50) for i in range(400) for v in ("all", f"u{i % 9}")] + [("env", "u1", 1, 1), ("env", None, 3, 3)]
+    corr = spark.createDataFrame(rows, "environment_key string, value string, event_id long, ms long")
+    targets = spark.createDataFrame([("env", i) for i in range(0, 400, 7)], "environment_key string, event_id long")
+    events = corr.select("environment_key", "event_id", "ms").distinct()
+    given = spark.createDataFrame([(7, 6), (7, 6), (14, 999)], "event_id long, contributor_id long")
+    by_target: dict[int, set] = {i: set() for i in range(0, 400, 7)}
+    for t in by_target:
+        shared = {v for _, v, i, _ in rows if i == t and v is not None}
+        by_target[t] |= {(-ms, i) for _, v, i, ms in rows if v in shared and i != t} | ({(-6, 6)} if t == 7 else set())
+    want = {(t, i, n + 1) for t, hits in by_target.items() for n, (_, i) in enumerate(sorted(hits)[:5])}
+    for few in (correlate.FEW_VALUES, 0):
+        monkeypatch.setattr(correlate, "FEW_VALUES", few)
+        out = correlate.related_events(corr, targets, 5, given, events, task_rows=20)
+        assert out.rdd.getNumPartitions() >= 2 * 58 * 6 // 20
+        assert {(r.target_id, r.event_id, r.rank) for r in out.collect()} == want
+        assert out.count() == len(want)

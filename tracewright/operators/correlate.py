@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tracewright.constants import PURCHASE_WINDOW_MS
 from tracewright.functions.instants import ordered_within
 from tracewright.plans.scans import TARGET_ROWS, highest, last, previous, scan, split_keys, top_n, total
+from tracewright.plans.settle import settle
+
+#: rows of a task where related events are grouped, and values that may be broadcast
+TASK_ROWS, FEW_VALUES = 500_000, 50_000
 
 
 def asof_last(
@@ -210,31 +214,48 @@ def match_purchases(
 
 
 def related_events(
-    correlations: DataFrame, targets: DataFrame, limit: int = 20, contributors: DataFrame | None = None, events: DataFrame | None = None
-) -> DataFrame:
+    correlations: DataFrame, targets: DataFrame, limit: int = 20, contributors: DataFrame | None = None, events: DataFrame | None = None,
+    task_rows: int = TASK_ROWS,
+) -> DataFrame:
     """Events that share a correlation value with a target in its environment, or that contributed to it: newest first.
 
     ``correlations``: (environment_key, value, event_id, ms), ``targets``: (environment_key, event_id), ``contributors``: (event_id,
     contributor_id) and, with it, ``events``: (environment_key, event_id, ms). Contributors of another environment are not related. At
     most ``limit`` events (50 at most) per target, so of one value only the newest ``limit + 1`` events can matter, one of
     which may be the target itself: a value that a whole environment shares is cut down to these before it meets its targets.
+    Tasks hold about ``task_rows`` rows, so their memory does not grow with the tables.
     """
-    limit, key = min(limit, 50), ["environment_key", "value"]
-    wanted = correlations.join(targets, ["environment_key", "event_id"], "left_semi").select(
-        *key, F.col("event_id").alias("target_id")
-    ).distinct()
-    able = correlations.join(wanted.select(*key).distinct(), key, "left_semi").select(*key, "event_id", "ms").distinct()
-    newest = top_n(able, key, [F.desc("ms")], limit + 1, ["event_id"]).drop("rank")
-    hits = newest.join(wanted, key).select("environment_key", "target_id", "event_id", "ms")
+    limit, key, whole = min(limit, 50), ["environment_key", "value"], ["environment_key", "target_id"]
+    size = correlations.count()
+    wanted = settle(
+        correlations.join(targets, ["environment_key", "event_id"], "left_semi").select(*key, F.col("event_id").alias("target_id")).distinct()
+    )
+    values = wanted.select(*key).distinct()
+    # few wanted values leave out the others first; with many, the others fall away where values meet their targets
+    few = values.limit(FEW_VALUES + 1).count() <= FEW_VALUES
+    able = correlations.join(F.broadcast(values), key, "left_semi") if few else correlations
+    once = _dealt(able.select(*key, "event_id", "ms"), size, *key, "event_id", "ms", task_rows=task_rows).distinct()
+    newest = top_n(once, key, [F.desc("ms")], limit + 1, ["event_id"])
+    # one row per value: at most limit + 1 events
+    lists = settle(newest.groupBy(*key).agg(F.collect_list(F.struct("event_id", "ms")).alias("_events")))
+    hits, rows = lists.join(wanted, key).select(*whole, "_events"), wanted.count() * (limit + 1)
     if contributors is not None:
         if events is None:
             raise ValueError("contributors need the events they name")
-        named = contributors.select(F.col("event_id").alias("target_id"), F.col("contributor_id").alias("event_id")).distinct()
+        named = contributors.select(F.col("event_id").alias("target_id"), F.col("contributor_id").alias("event_id"))
         own = targets.select("environment_key", F.col("event_id").alias("target_id"))
         given = named.join(own, "target_id").join(events.select("environment_key", "event_id", "ms"), ["environment_key", "event_id"])
-        hits = hits.unionByName(given.select("environment_key", "target_id", "event_id", "ms"))
-    once = hits.where(F.col("event_id") != F.col("target_id")).groupBy("environment_key", "target_id", "event_id").agg(F.max("ms").alias("ms"))
-    return top_n(once, ["environment_key", "target_id"], [F.desc("ms")], limit, ["event_id"])
+        hits = hits.unionByName(given.select(*whole, F.array(F.struct("event_id", "ms")).alias("_events")))
+        rows += contributors.count()
+    # all hits of a target meet in one task, whose rows are bounded, so they are grouped and ranked without another shuffle
+    each = _dealt(hits, rows, *whole, task_rows=task_rows).select(*whole, F.inline("_events"))
+    best = each.where(F.col("event_id") != F.col("target_id")).groupBy(*whole, "event_id").agg(F.max("ms").alias("ms"))
+    return top_n(best, whole, [F.desc("ms")], limit, ["event_id"])
+
+
+def _dealt(df: DataFrame, rows: int, *columns: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Rows dealt by ``columns`` so that a task gets about ``task_rows`` of them, however many there are."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // task_rows)), *columns)
 
 
 def lineage(events: DataFrame) -> DataFrame:
