@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 from tracewright.llm import debruijn, simhash, suffix_dedup, windows
-from tracewright.llm.common import settle
+from tracewright.llm.common import settle, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -299,3 +299,12 @@ def test_shared_grams_keeps_every_occurrence_of_a_frequent_gram(spark):
     assert len(kept) == len(set(kept)) and want <= set(kept)
     assert len(set(kept) - want) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert windows.shared_grams(runs.limit(0)).count() == 0
+
+
+def test_tables_of_past_rounds_go(spark, texts):
+    """After the last round only the texts and what each round found are on disk."""
+    before, plan = written(), suffix_dedup.plan_of(40)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    marks = windows.repeated_windows(windows.distinct_texts(docs, "text", None), plan, smaller=False, sources=False)
+    assert marks.columns == ["key", "lo", "n"] and marks.count() > 0
+    assert len(written() - before) == 1 + len(plan.cells)

@@ -49,7 +49,7 @@ def first_occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     plan = plan_of(length)
     texts = distinct_texts(docs, text, doc_id)
-    return without_repeats(texts, repeated_windows(texts, plan, smaller=True), plan, False)
+    return without_repeats(texts, repeated_windows(texts, plan, smaller=True, sources=False), plan, False)
 
 
 def attach_first(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
