@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions.instants import parse_instant, with_log_instant
+from tracewright.functions.text import normalize_record, notification
 from tracewright.operators import emission, framing, health
-from tracewright.operators.rules import Profile, Rule
+from tracewright.operators.rules import LIFECYCLE_RULES, Profile, Rule, matching_rules
+from tracewright.plans.scans import Lane
 from tracewright.plans.settle import settle
 
 DAY = datetime(2031, 3, 4, tzinfo=UTC)
@@ -232,3 +234,52 @@ def test_unsound_profiles_are_refused(spark):
     for word in ("rule_without_literals", "duplicate_rule", "unknown_event_type NoSuchEvent", "unknown_extractor guess",
                  "field_never_read jurisdiction", "duplicate_profile", "missing_channels", "unknown_rule_set none"):
         assert word in str(told.value)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_are_shuffled_once_from_environment_to_lane_state(spark):
+    records = spark.range(5).selectExpr(
+        "cast(id as string) as source_id", "id % 2 as generation", "id as line_no", "id as end_line", "id as byte_offset", "cast(id as string) as text"
+    )
+    lane = Lane(("source_id", "generation"), ("byte_offset",))
+    plan = _plan(emission._observe(emission.with_environment(records, lane, spark), lane))
+    assert plan.count("Exchange hashpartitioning(source_id") == 1
+    assert "SortMergeJoin" not in plan
+
+
+def test_rules_and_candidates_are_compiled(spark):
+    rows = spark.createDataFrame([("<Join PU> <SystemQuit>",), ("none",), (None,)], "text string")
+    found = rows.select(matching_rules("text", LIFECYCLE_RULES).alias("r"), matching_rules("text", []).alias("e"))
+    assert "lambda" not in _plan(found)
+    assert [(r.r, r.e) for r in found.collect()] == [(["pu.join-requested", "application.system-quit"], []), ([], []), ([], [])]
+    none = F.lit(None).cast("string")
+    seen = rows.select(none.alias("source_id"), F.lit(0).alias("generation"), *[none.alias(c) for c in emission._CARRY[2:]])
+    parts = [
+        emission._candidate("a.b", "T", F.lit(True), emission._map(f=F.col("source_id"))),
+        emission._candidate("c.d", "U", F.col("source_id").isNotNull(), emission._map(f=F.col("source_id"))),
+    ]
+    spread = emission._spread(seen, parts)
+    assert "lambda" not in _plan(spread)
+    assert [r.rule_id for r in spread.collect()] == ["a.b"] * 3
+
+
+def test_notations_of_notifications(spark):
+    texts = [
+        'NOTIFICATIONID[7] x MESSAGE["old one"]', 'message["only text"]', 'Message="as key"', 'MESSAGE="not this case"',
+        '<SHUDEvent_OnNotification> Added notification "new: " [9] to queue.', "plain", None,
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: (r.n.id, r.n.message) for r in rows.select("i", notification(F.col("text")).alias("n")).collect()}
+    assert got == {
+        0: ("7", "old one"), 1: (None, "only text"), 2: (None, "as key"), 3: (None, None), 4: ("9", "new: "), 5: (None, None), 6: (None, None),
+    }
+
+
+def test_record_text_on_one_line(spark):
+    texts = ["a \n  b\n", "<s> a <2031-03-04T06:00:00Z>  b ", "plain", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = [r.t for r in rows.select("i", normalize_record(F.col("text")).alias("t")).orderBy("i").collect()]
+    assert got == ["a b", "<s> a b", "plain", "", None]

@@ -103,7 +103,11 @@ _ADDED = rf"<SHUDEvent_OnNotification>{WS}+Added notification{WS}+\"([^\"]*)\"{W
 
 def notification(text: Column) -> Column:
     """``struct(id, message)`` from either notification notation."""
-    old_id, old_message = bracket(text, "NotificationId"), notification_message(text)
+    # plain substring tests first: most records lack the older notation, and its patterns try every position
+    low = F.lower(text)
+    old_id = F.when(F.contains(low, F.lit("notificationid[")), bracket(text, "NotificationId"))
+    told = F.contains(low, F.lit("message[")) | F.contains(text, F.lit('Message="'))
+    old_message = F.when(told, notification_message(text))
     older = old_id.isNotNull() | old_message.isNotNull()
     return F.struct(
         F.when(older, old_id).otherwise(group(text, _ADDED, 2)).alias("id"),
@@ -167,7 +171,7 @@ def outcome_kind(result: Column) -> Column:
 
 def normalize_record(text: Column) -> Column:
     """Record text on one line: inner line breaks and repeated stamps become a blank."""
-    s = F.regexp_replace(text, rf"{WS}*\n{WS}*", " ")
+    s = F.when(F.contains(text, F.lit("\n")), F.regexp_replace(text, rf"{WS}*\n{WS}*", " ")).otherwise(text)
     s = F.regexp_replace(s, rf"{WS}<\d{{4}}-\d{{2}}-\d{{2}}T[^>]+>{WS}*", " ")
     return F.regexp_replace(s, rf"{WS}+\z", "")
 

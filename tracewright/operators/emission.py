@@ -103,7 +103,8 @@ def with_environment(
             "env_name": F.coalesce("b_name", default("name", "UNKNOWN")),
         }
     )
-    keyed_env = fenced(facts).withColumn(
+    # no generator and only broadcast joins from here on: partitions and order of the lane last until its next running values
+    keyed_env = facts.withColumn(
         "environment_key",
         environment_key(
             F.col("channel"), F.col("universe"), F.col("build"), F.col("branch"), source_installation_id(F.col("location"))
@@ -117,7 +118,7 @@ def with_environment(
     chosen = known_profiles.where(F.col("profile_id") == wanted) if wanted else known_profiles.where(~F.col("fixture_only"))
     judged = build_compatibility(select_profile(keyed_env, chosen)).withColumnRenamed("version", "profile_version")
     meta = known_profiles.select("profile_id", "rule_set", "parser_version")
-    out = judged.join(meta, "profile_id", "left").withColumn(
+    out = judged.join(F.broadcast(meta), "profile_id", "left").withColumn(
         "parser_version", F.coalesce("parser_version", F.lit("runtime-log-parser/0.1.0"))
     )
     return with_log_instant(out, "text", "ts_ms", "ts_code")
@@ -160,18 +161,25 @@ def _observe(records: DataFrame, lane: Lane, profiles: Sequence[Profile] = ()) -
     returned, quit_, join = "frontend.returned", "application.system-quit", "pu.join-requested"
     channels = (created, complete, dropped, returned)
     fragment, incoming, login = "identity.character-fragment", "identity.incoming-connection", "identity.account-authenticated"
-    remote = keyed(text, "remoteAddr")
-    seen = base.withColumns(
+    # values that the columns below use more than once are read from the text once
+    told = base.withColumns(
         {
-            "x_host": take(endpoint_host(remote), *channels),
-            "x_port": take(endpoint_port(remote), *channels),
+            "_remote": take(keyed(text, "remoteAddr"), *channels),
+            "_port": take(bracket(text, "port"), join, "pu.matchmaking-request"),
+            "_nodes": take(quoted(text, "nodeCount"), "mesh.universe-hierarchy-start"),
+        }
+    )
+    seen = told.withColumns(
+        {
+            "x_host": endpoint_host(F.col("_remote")),
+            "x_port": endpoint_port(F.col("_remote")),
             "x_node": take(keyed(text, "node_id"), *channels, incoming),
             "x_geid": take(keyed(text, "playerGEID"), *channels, incoming),
             "x_rules": take(keyed(text, "gamerules"), *channels, "mesh.pu-territory-setup-complete"),
             "x_host_type": take(keyed(text, "hostType"), *channels),
             "j_shard": take(bracket(text, "shard"), join),
             "j_endpoint": take(bracket(text, "address"), join),
-            "j_port": take(to_integer(bracket(text, "port")), join, "pu.matchmaking-request"),
+            "j_port": to_integer(F.col("_port")),
             "j_location": take(bracket(text, "locationId"), join),
             "m_id": take(bracket(text, "id"), "pu.matchmaking-request"),
             "m_status": take(bracket(text, "status"), "pu.matchmaking-request"),
@@ -185,10 +193,10 @@ def _observe(records: DataFrame, lane: Lane, profiles: Sequence[Profile] = ()) -
             "i_session": take(keyed(text, "session"), incoming),
             "x_reason": take(keyed(text, "RequestFrontEndReason"), "frontend.reason"),
             "h_network": take(to_boolean(quoted(text, "bNetRecvd")), "mesh.universe-hierarchy-start"),
-            "h_nodes": take(to_integer(quoted(text, "nodeCount")), "mesh.universe-hierarchy-start"),
+            "h_nodes": to_integer(F.col("_nodes")),
             "n": F.when(F.contains(text, F.lit("Notification")), notification(text)),
         }
-    )
+    ).drop("_remote", "_port", "_nodes")
     pos, at = F.col("byte_offset"), F.col("ts_ms")
     joined = (
         on(join)
@@ -293,16 +301,27 @@ def _map(**fields: Column) -> Column:
     return F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v.cast("string"))])
 
 
+_FOUND = "array<struct<rule_id:string,event_type:string,payload:map<string,string>,dedupe_scope:string>>"
+
+
 def _candidate(rule_id: str, event_type: str, when: Column, payload: Column, scope: Column | None = None) -> Column:
-    return F.when(
-        when,
-        F.struct(
-            F.lit(rule_id).alias("rule_id"),
-            F.lit(event_type).alias("event_type"),
-            payload.alias("payload"),
-            (scope if scope is not None else F.lit(None).cast("string")).alias("dedupe_scope"),
-        ),
+    """An array of one candidate, or of none."""
+    one = F.struct(
+        F.lit(rule_id).alias("rule_id"),
+        F.lit(event_type).alias("event_type"),
+        payload.alias("payload"),
+        (scope if scope is not None else F.lit(None).cast("string")).alias("dedupe_scope"),
     )
+    return F.when(when, F.array(one)).otherwise(F.array().cast(_FOUND))
+
+
+def _spread(seen: DataFrame, parts: Sequence[Column]) -> DataFrame:
+    """One row per candidate. The candidates are a projection below the generator, so that Spark compiles them: what a generator or a
+    lambda holds is interpreted.
+    """
+    none = F.lit(None).cast("string").alias("marker")
+    found = seen.select(*_CARRY, none, _NO_REFS(), F.array(*parts).alias("_parts"))
+    return found.select(*_CARRY, "marker", "contributors", F.inline(F.flatten("_parts")))
 
 
 def _of(rule_id: str, when: Column, payload: Column, scope: Column | None = None) -> Column:
@@ -366,16 +385,28 @@ def _stateless(seen: DataFrame) -> DataFrame:
         return F.array_contains("rules", rule)
 
     note = F.col("n")
-    party_handle = group(note["message"], r"^(.+?) connected\.\z", 1)
-    member = trim_ws(group(note["message"], r"(?i)^New Member Joined\s+(.+?)\s+has joined the party\.:?\s*\z", 1))
     leave = r"<Leave group>\s+Client\s+(\S+)\s+leave group\s+(\S+)"
-    leaver = clean(group(text, leave, 1))
-    mission_id = F.coalesce(bracket(text, "MissionId"), group(text, r"(?i)(?<!\w)MissionId\s*:\s*\[([^\]]+)\]", 1))
     contract = trim_ws(
         F.regexp_replace(group(note["message"], r"(?i)^Contract Accepted:\s*(.+?)\s*:?\z", 1), r":\s*\z", "")
     )
-    jurisdiction = group(location_message(note["message"]), r"^Entered (.+?) Jurisdiction\z", 1)
-    exit_code = to_integer(keyed(text, "exitCode"))
+    mission = F.coalesce(bracket(text, "MissionId"), group(text, r"(?i)(?<!\w)MissionId\s*:\s*\[([^\]]+)\]", 1))
+    joined = trim_ws(group(note["message"], r"(?i)^New Member Joined\s+(.+?)\s+has joined the party\.:?\s*\z", 1))
+    # values that the candidates below use more than once, read where their rule matched
+    once = {
+        "_handle": ("party.notification-member-connected", group(note["message"], r"^(.+?) connected\.\z", 1)),
+        "_member": ("party.notification-member-joined", joined),
+        "_leaver": ("party.left-local", clean(group(text, leave, 1))),
+        "_mission": ("mission.contract-accepted", mission),
+        "_contract": ("mission.contract-accepted", contract),
+        "_jurisdiction": ("zone.jurisdiction-entered", group(location_message(note["message"]), r"^Entered (.+?) Jurisdiction\z", 1)),
+        "_exit": ("application.system-quit", keyed(text, "exitCode")),
+        "_remote": ("disconnect.channel", keyed(text, "isRemote")),
+        "_uptime": ("disconnect.channel", keyed(text, "uptime_secs")),
+    }
+    read = seen.withColumns({name: F.when(on(rule), value) for name, (rule, value) in once.items()})
+    party_handle, member, leaver = F.col("_handle"), F.col("_member"), F.col("_leaver")
+    mission_id, contract, jurisdiction = F.col("_mission"), F.col("_contract"), F.col("_jurisdiction")
+    exit_code = to_integer(F.col("_exit"))
     tag = F.coalesce(release_channel(bracket(text, "Tag")), F.col("channel"))
     player = F.coalesce(F.col("s_player"), F.lit(""))
     has_begin = F.col("s_begin").isNotNull() & (F.col("s_end").isNull() | (F.col("s_end") < F.col("s_begin.pos")))
@@ -415,8 +446,8 @@ def _stateless(seen: DataFrame) -> DataFrame:
                         loadDurationSeconds=number_text((F.col("ts_ms") - F.col("s_join.ms")) / 1000)),
                    F.col("session_scope")),
         _of("disconnect.channel", F.col("is_lost"),
-                   _map(cause=keyed(text, "cause"), reason=keyed(text, "reason"), isRemote=to_boolean(keyed(text, "isRemote")),
-                        endpoint=F.col("x_host"), uptimeSeconds=number_text(to_number(keyed(text, "uptime_secs"))))),
+                   _map(cause=keyed(text, "cause"), reason=keyed(text, "reason"), isRemote=to_boolean(F.col("_remote")),
+                        endpoint=F.col("x_host"), uptimeSeconds=number_text(to_number(F.col("_uptime"))))),
         _of("frontend.returned", F.col("is_front"), _map(reason=F.col("s_front_reason"))),
         _of("application.system-quit", on("application.system-quit"),
                    _map(cause=keyed(text, "cause"), reason=keyed(text, "reason"), exitCode=exit_code,
@@ -452,8 +483,7 @@ def _stateless(seen: DataFrame) -> DataFrame:
                                 ("zone.armistice-entered", "entered"), ("zone.armistice-left", "left"))
         ],
     ]
-    none = F.lit(None).cast("string").alias("marker")
-    return seen.select(*_CARRY, none, _NO_REFS(), F.inline(F.array_compact(F.array(*parts))))
+    return _spread(read, parts)
 
 
 def _signals(seen: DataFrame) -> DataFrame:
@@ -496,10 +526,7 @@ def _joins(seen: DataFrame, hot: int | None) -> DataFrame:
         _map(endpoint=F.nullif("_host", F.lit("")), port=F.col("x_port"), observedNodeId=F.coalesce("x_node", "_node"),
              playerGeid=F.col("_geid"), gamerules=F.col("x_rules"), hostType=F.coalesce("x_host_type", "_type")),
     )
-    none = F.lit(None).cast("string").alias("marker")
-    return with_request.select(*_CARRY, none, _NO_REFS(), F.inline(F.array(join))).unionByName(
-        with_channel.select(*_CARRY, none, _NO_REFS(), F.inline(F.array(complete)))
-    )
+    return _spread(with_request, [join]).unionByName(_spread(with_channel, [complete]))
 
 
 _VEHICLE_ROWS = (
@@ -654,8 +681,7 @@ def _callers(seen: DataFrame, own: Sequence[tuple[str, Rule]]) -> DataFrame:
         for profile, r in own
     ]
     hit = seen.where(F.arrays_overlap("rules", F.array(*[F.lit(r.rule_id) for _, r in own])))
-    none = F.lit(None).cast("string").alias("marker")
-    return hit.select(*_CARRY, none, _NO_REFS(), F.inline(F.array_compact(F.array(*parts))))
+    return _spread(hit, parts)
 
 
 def emit_candidates(seen: DataFrame, hot: int | None = TARGET_ROWS, profiles: Sequence[Profile] = ()) -> DataFrame:

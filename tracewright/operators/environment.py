@@ -241,7 +241,7 @@ def select_profile(rows: DataFrame, profiles: DataFrame) -> DataFrame:
     )
     picked = (
         rows.withColumns({"_major": family["major"], "_minor": family["minor"]})
-        .join(families, ["_major", "_minor"], "left")
+        .join(F.broadcast(families), ["_major", "_minor"], "left")
         .withColumn("_best", F.try_element_at(fits, F.lit(1)))
     )
     return picked.select(

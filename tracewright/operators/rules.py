@@ -316,12 +316,13 @@ def _quote(literal: str) -> str:
 def matching_rules(text: str, rules: Sequence[Rule]) -> Column:
     """Ids of the rules whose literals all occur in the text column, in rule order.
 
-    The rule table is compiled into one expression of substring tests; there is no join.
+    The rule table is compiled into one expression of substring tests; there is no join, and no lambda, inside which Spark would
+    interpret the tests instead of compiling them.
     """
     tests = [
-        f"if({' and '.join(f'contains(`{text}`, {_quote(x)})' for x in r.literals)}, {_quote(r.rule_id)}, null)" for r in rules
+        f"if({' and '.join(f'contains(`{text}`, {_quote(x)})' for x in r.literals)}, {_quote(r.rule_id)}, '')" for r in rules
     ]
-    return F.expr(f"array_compact(array({', '.join(tests)}))")
+    return F.expr(f"array_remove(array({', '.join(tests)}), '')") if tests else F.array().cast("array<string>")
 
 
 def dispatch(records: DataFrame, rules: Sequence[Rule]) -> DataFrame:
