@@ -10,7 +10,7 @@ from tracewright.functions.instants import parse_instant, with_log_instant
 from tracewright.functions.text import normalize_record, notification
 from tracewright.operators import emission, framing, health
 from tracewright.operators.rules import LIFECYCLE_RULES, Profile, Rule, matching_rules
-from tracewright.plans.scans import Lane
+from tracewright.plans.scans import CHUNK, Lane, split_offsets
 from tracewright.plans.settle import settle
 
 DAY = datetime(2031, 3, 4, tzinfo=UTC)
@@ -250,6 +250,19 @@ def test_records_are_shuffled_once_from_environment_to_lane_state(spark):
     assert "SortMergeJoin" not in plan
 
 
+def test_a_large_offset_alone_cuts_no_source(spark):
+    rows = [(s, 0, n, n, n, start + 100 * n, 100, 1, "plain chatter") for s, start in (("early", 0), ("late", 20 << 20)) for n in range(5)]
+    names = "source_id string, generation bigint, line_no bigint, end_line bigint, n bigint, byte_offset bigint, byte_length bigint, line_count bigint"
+    lines = spark.createDataFrame(rows, f"{names}, text string")
+    for cut, split in ((8 << 20, False), (501, False), (500, True)):
+        chunked, lane = split_offsets(lines, framing.LANE, chunk_bytes=cut)
+        assert lane.split == split == (CHUNK in chunked.columns)
+    # without lengths the offsets are all there is to go by; lines without a known length count as one byte
+    assert split_offsets(lines.drop("byte_length"), framing.LANE, chunk_bytes=501)[1].split
+    bare = lines.withColumn("byte_length", F.lit(None).cast("bigint"))
+    assert [split_offsets(bare, framing.LANE, chunk_bytes=n)[1].split for n in (5, 6)] == [True, False]
+
+
 def test_rules_and_candidates_are_compiled(spark):
     rows = spark.createDataFrame([("<Join PU> <SystemQuit>",), ("none",), (None,)], "text string")
     found = rows.select(matching_rules("text", LIFECYCLE_RULES).alias("r"), matching_rules("text", []).alias("e"))

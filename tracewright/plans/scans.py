@@ -105,15 +105,20 @@ def split_keys(
 
 
 def split_offsets(
-    df: DataFrame, keys: Sequence[str], offset: str = "byte_offset", chunk_bytes: int = CHUNK_BYTES
+    df: DataFrame, keys: Sequence[str], offset: str = "byte_offset", chunk_bytes: int = CHUNK_BYTES, length: str = "byte_length"
 ) -> tuple[DataFrame, Lane]:
     """Chunks for log lines: a slice of the byte axis is bounded by construction.
 
-    Sources shorter than one slice need no chunks, which the largest offset tells.
+    Sources shorter than one slice need no chunks, which the largest offset tells. Where ``length`` is among the columns, neither do
+    sources of which less than one slice is here: a large offset alone says where their lines stand, not how many there are.
     """
     top = df.agg(F.max(offset)).first()[0]
     if top is None or top < chunk_bytes:
         return df, Lane(tuple(keys), (offset,))
+    if length in df.columns:
+        held = F.sum(F.greatest(F.lit(1).cast("bigint"), F.col(length)))
+        if df.groupBy(*keys).agg(held.alias("_held")).agg(F.max("_held")).first()[0] < chunk_bytes:
+            return df, Lane(tuple(keys), (offset,))
     return df.withColumn(CHUNK, F.expr(f"cast({offset} div {chunk_bytes} as bigint)")), Lane(tuple(keys), (offset,), True)
 
 
