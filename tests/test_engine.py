@@ -2,6 +2,7 @@
 
 from dataclasses import replace
 from datetime import UTC, datetime, timedelta
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -263,6 +264,25 @@ def test_a_large_offset_alone_cuts_no_source(spark):
     assert [split_offsets(bare, framing.LANE, chunk_bytes=n)[1].split for n in (5, 6)] == [True, False]
 
 
+def test_a_cut_source_is_read_once_before_its_state(spark, monkeypatch):
+    whole = parse(spark, {"own": STORY, "late": STORY.replace("sess-9", "sess-5")})
+    plans, scan = [], emission.scan
+
+    def spied(df, lane, values):
+        plans.append((lane.split, _plan(df)))
+        return scan(df, lane, values)
+
+    monkeypatch.setattr(emission, "scan", spied)
+    monkeypatch.setattr(emission, "split_offsets", partial(split_offsets, chunk_bytes=700))
+    cut = parse(spark, {"own": STORY, "late": STORY.replace("sess-9", "sess-5")})
+    assert len(plans) == 4 and all(split for split, _ in plans)
+    # neither rules nor environment are planned again for each running value
+    assert not any("<SystemQuit>" in plan or "FileVersion" in plan for _, plan in plans)
+    for name, told in (("events", ["event_type", "event_id", "order_key"]), ("unknown", ["unknown_reason", "text"])):
+        a, b = (sorted(getattr(p, name).select("source_id", "byte_offset", *told).collect()) for p in (whole, cut))
+        assert a and a == b
+
+
 def test_rules_and_candidates_are_compiled(spark):
     rows = spark.createDataFrame([("<Join PU> <SystemQuit>",), ("none",), (None,)], "text string")
     found = rows.select(matching_rules("text", LIFECYCLE_RULES).alias("r"), matching_rules("text", []).alias("e"))

@@ -209,8 +209,10 @@ def _observe(records: DataFrame, lane: Lane, profiles: Sequence[Profile] = ()) -
     is_front = on(returned) & F.contains(F.coalesce("x_host", F.lit("")), F.lit("frontend"))
     lost = on(dropped) & (F.lower(F.coalesce("x_rules", F.lit(""))) != "sc_frontend")
     hard = is_front | on(quit_)
+    observed = seen.withColumns({"is_join": joined, "is_front": is_front, "is_lost": lost, "is_hard": hard})
+    # over a cut lane each running value below is a job of its own, which would plan and read all of the above again
     state = scan(
-        seen.withColumns({"is_join": joined, "is_front": is_front, "is_lost": lost, "is_hard": hard}),
+        settle(observed) if lane.split else observed,
         lane,
         {
             "s_join": last(
